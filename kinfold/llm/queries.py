@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe
+from kinfold.llm import bpe, secrets
 from kinfold.llm.common import table
 
 
@@ -23,5 +23,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str, spec_path: str | None = None) -> D
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def secret_model(spark: SparkSession, docs: DataFrame) -> secrets.MarkovRatio:
+    """The model of random strings, trained on generated random strings and the words of at most 2,000 documents."""
+    return secrets.train(secrets.random_samples(spark).union(secrets.identifier_samples(docs, "text")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secret_model(spark, docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def of_kind(kind):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+
+    count = {k: of_kind(k) for k in secrets.KINDS}
+    return found.select(
+        "doc_id",
+        *[count[k].alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(joined(F.filter("secrets", lambda x: x["kind"] != "random")), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        count["random"].alias("n_random"),
+    )
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, secrets
+from kinfold.llm import bpe, chat, secrets
 from kinfold.llm.common import table
 
 
@@ -48,5 +48,43 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets}
-ORACLE_SQL: dict[str, str] = {}
+#: One conversation whose texts hold control strings, formatted with the others.
+TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string"))
+    out = chat.format_trees(chat.chain_messages(turns))
+    out = out.withColumn("turns", chat.read_turns(F.col("formatted")))
+    loss = F.array_join(chat.read_mask(F.col("formatted"), F.col("mask")), "")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.withColumn("loss", loss).select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat}
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+    length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) AS text_chars,
+    length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '[', ''), chr(10), '')) AS role_chars
+  FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(6 + role_chars + 1 + text_chars + 7)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL.replace(r"'\\'", r"'\'")}

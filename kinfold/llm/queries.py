@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, secrets
-from kinfold.llm.common import table
+from kinfold.llm import bpe, chat, langid, secrets, toxicity
+from kinfold.llm.common import fold, table
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, spec_path: str | None = None) -> DataFrame:
@@ -69,7 +69,29 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat}
+def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> toxicity.ToxicityModel:
+    """Fitted to labels of the folds 1 to 4 only; the ids of the bounded sample are small enough to send to every task."""
+    seen = labels.where((fold("doc_id", 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return toxicity.train(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), rows)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(fold("doc_id", 3) != 1))
+    out = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

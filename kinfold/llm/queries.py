@@ -6,10 +6,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, langid, secrets, toxicity
+from kinfold.llm import bpe, chat, decontam, langid, secrets, toxicity
 from kinfold.llm.common import fold, table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: the items it holds to 0.8 or more, by five-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.contained(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    best = F.array_max(F.transform("matches", lambda m: m["containment"]))
+    return out.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.array_join(F.transform("matches", lambda m: m["item_id"].cast("string")), ",").alias("item_ids"),
+        F.round(F.coalesce(best, F.lit(0.0)), 6).alias("containment"),
+    )
+
+
+#: Items are probed first by the shingles they share with any document; every pair that shares one is then counted exactly.
+OP2_SQL = r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM item_words, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0
+), sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM doc_words, unnest(range(1, greatest(len(w) - 3, 1))) t(i)
+), pairs AS (
+  SELECT doc_id, item_id, count(*) AS shared FROM shingles JOIN items USING (s) GROUP BY ALL
+), hits AS (
+  SELECT doc_id, item_id, shared / n AS containment FROM pairs JOIN sizes USING (item_id) WHERE shared >= 0.8 * n
+), found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids, max(containment) AS most FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, f.n IS NOT NULL AS contaminated, coalesce(f.n, 0)::BIGINT AS n_items, coalesce(f.ids, '') AS item_ids,
+  round(coalesce(f.most, 0), 6)::DOUBLE AS containment
+FROM documents d LEFT JOIN found f USING (doc_id)
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, spec_path: str | None = None) -> DataFrame:
     path = spec_path or public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,7 +129,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,4 +147,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(6 + role_chars + 1 + text_chars + 7)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL.replace(r"'\\'", r"'\'")}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op6_chat": OP6_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, decontam, langid, secrets, toxicity
+from kinfold.llm import ann, bpe, chat, decontam, langid, secrets, toxicity
 from kinfold.llm.common import fold, table
 
 
@@ -48,6 +48,11 @@ FROM documents d LEFT JOIN found f USING (doc_id)
 """
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), ann.fit(rows))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, spec_path: str | None = None) -> DataFrame:
     path = spec_path or public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,7 +134,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_ann": op3_ann, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid}
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

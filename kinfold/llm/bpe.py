@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def byte_symbols() -> dict[str, int]:
 class WordBpe:
     """Encoder and decoder for a vocabulary file of words with an end mark (JSON text of the file)."""
 
-    def __init__(self, spec: str, cache: int = 300_000):
+    def __init__(self, spec: str, cache: int = 500_000):
         data = json.loads(spec)
         model, pre = data["model"], data["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in data["normalizer"]["normalizers"]]
@@ -55,20 +56,21 @@ class WordBpe:
             if all(c in to_byte for c in body):
                 (self.final if last else self.inner)[bytes(to_byte[c] for c in body)] = i
         self.raw = {i: (b, last) for last, d in ((False, self.inner), (True, self.final)) for b, i in d.items()}
-        self.longest: dict[bytes, int] = {}  # of the inner tokens that start with one or two given bytes
+        self.longest: dict[bytes, int] = {}  # of the inner tokens that start with four given bytes
         for raw in self.inner:
-            for k in (1, 2):
-                self.longest[raw[:k]] = max(self.longest.get(raw[:k], 1), len(raw))
-        self.ranks: dict[tuple[int, int], int] = {}
+            if len(raw) >= 4:
+                self.longest[raw[:4]] = max(self.longest.get(raw[:4], 1), len(raw))
+        self.ranks: dict[int, int] = {}  # by both ids of a pair in one number
         self.merged: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = rank
+            self.ranks[vocab[a] << 20 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens |= {i: c for c, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cache = cache
         self.known = np.empty(0, np.int64)  # pairs checked so far, in order
         self.fits = np.empty(0, bool)
@@ -78,16 +80,19 @@ class WordBpe:
         """Merge by rank, leftmost first among equals, in n log n."""
         n, ids, none = len(ids), list(ids), len(self.merged)
         get, merged = self.ranks.get, self.merged
-        if n <= 40:  # a scan of all pairs each time is quicker than a heap
-            while len(ids) > 1:
-                ranks = [get(p, none) for p in zip(ids, ids[1:])]
-                if (r := min(ranks)) == none:
-                    break
+        if n <= 40:  # a scan of all ranks each time is quicker than a heap
+            ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+            while ranks and (r := min(ranks)) != none:
                 i = ranks.index(r)
                 ids[i : i + 2] = [merged[r]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+                if i < len(ranks):
+                    ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
             return ids
         left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -98,7 +103,7 @@ class WordBpe:
             if right[j] >= 0:
                 left[right[j]] = i
             for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q >= 0 and (r := get((ids[p], ids[q]))) is not None:
+                if p >= 0 and q >= 0 and (r := get(ids[p] << 20 | ids[q])) is not None:
                     heapq.heappush(heap, (r, p, ids[p], ids[q]))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
@@ -113,7 +118,7 @@ class WordBpe:
             if (t := final.get(raw[i:])) is not None:
                 out.append(t)
                 break
-            k = min(longest.get(raw[i : i + 2], 1), n - 1 - i)
+            k = min(longest.get(raw[i : i + 4], 3), n - 1 - i)
             while (t := inner.get(raw[i : i + k])) is None:
                 k -= 1
             out.append(t)
@@ -129,8 +134,6 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met before and keep their tokens."""
-        if len(self.words) + len(words) > self.cache:
-            self.words.clear()
         todo = list(words)
         raws = [w.encode() for w in todo]
         proposals = [self.propose(r) for r in raws]
@@ -177,11 +180,14 @@ class WordBpe:
         flat, sizes = [], []
         for lo in range(0, len(texts), 200):
             docs = [self.pieces(t or "") for t in texts[lo : lo + 200]]
-            new = {w for d in docs for w in d if w.__class__ is str}.difference(self.words)
-            if new:
-                self.learn(new)
-                if missing := {w for d in docs for w in d if w.__class__ is str}.difference(self.words):
-                    self.learn_more(missing)
+            need = {w for d in docs for w in d if w.__class__ is str}
+            new = need.difference(self.words)
+            if len(self.words) + len(new) > self.cache // 2:  # words not met again since the last time go
+                self.older, self.words, new = self.words, {}, need
+            met = [w for w in new if w in self.older]
+            self.words.update({w: self.older[w] for w in met})
+            if len(met) < len(new):
+                self.learn(new.difference(met))
             get = self.words
             for d in docs:
                 try:
@@ -192,12 +198,6 @@ class WordBpe:
                 flat.append(np.array(ids, np.int32))
         return np.concatenate([np.empty(0, np.int32), *flat]), np.array(sizes, np.int64)
 
-    def learn_more(self, words: set[str]) -> None:
-        """Words that an emptied cache has just lost; this slice's words are all kept, whatever their number."""
-        bound, self.cache = self.cache, len(self.words) + len(words)
-        self.learn(words)
-        self.cache = bound
-
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
 
@@ -248,6 +248,17 @@ def decode(df: DataFrame, spec_path: str, ids_col: str = "ids", out: str = "deco
 
     def make():
         bpe = model_of(spec.value)
-        return lambda ids: [[bpe.decode(x or []) for x in ids.to_pylist()]]
+        top = max(bpe.tokens) + 1
+        names = pa.array([bpe.tokens.get(i) for i in range(top)], pa.string())
+
+        def fn(ids: pa.ListArray) -> list:
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            if ids.null_count or len(flat) and (flat.dtype.kind != "i" or flat.min() < 0 or flat.max() >= top or len(bpe.tokens) < top):
+                return [[bpe.decode(x or []) for x in ids.to_pylist()]]
+            sizes = pc.list_value_length(ids).to_numpy()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            return [pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(flat))), " ")]
+
+        return fn
 
     return arrow_columns(df, [ids_col], T.StructType([T.StructField(out, T.StringType())]), make, keep, rows=500)

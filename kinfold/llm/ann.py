@@ -47,6 +47,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
     return centre
 
 
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.sqrt((x**2).sum(axis=1))
+    return x / np.where(length > 0, length, 1)[:, None], length
+
+
 def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     norm = (centre**2).sum(axis=1)
     return np.concatenate([(norm - 2 * x[i : i + 4096] @ centre.T).argmin(axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, np.int64)])
@@ -63,10 +68,11 @@ class IvfPq:
     probes: int
     depth: int
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes of the residual's direction, and its length: close to a centroid, codes are as fine as elsewhere."""
         lists = nearest(x, self.centroids)
-        rest = x - self.centroids[lists]
-        return lists, np.stack([nearest(rest[:, a:b], self.words[m][:, : b - a]) for m, (a, b) in enumerate(self.parts)], axis=1).astype(np.uint8)
+        rest, length = unit(x - self.centroids[lists])
+        return lists, length, np.stack([nearest(rest[:, a:b], self.words[m][:, : b - a]) for m, (a, b) in enumerate(self.parts)], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """query, subspace, word: inner products."""
@@ -80,7 +86,7 @@ class IvfPq:
         return [o[:k] for o, k in zip(order, n, strict=True)]
 
 
-def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, subspaces: int = 16, recall: float = 0.975, k: int = 20) -> IvfPq | None:
+def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, subspaces: int = 16, recall: float = 0.99, k: int = 20) -> IvfPq | None:
     """Train on the ``sample`` rows of the smallest hash, the only rows that reach the driver.
 
     The number of lists is half the root of the number of rows, 1,024 at most.  The
@@ -98,7 +104,7 @@ def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, sub
     total = good.count()
     lists = int(min(1024, max(1, math.sqrt(total) / 2))) if total > 50 * k else 1
     centroids = kmeans(x, lists)
-    rest = x - centroids[nearest(x, centroids)]
+    rest, _ = unit(x - centroids[nearest(x, centroids)])
     bounds = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int)
     parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
     widest = max(b - a for a, b in parts)
@@ -117,7 +123,7 @@ def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, sub
     rank = np.argsort(np.argsort(-(probe @ centroids.T), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, own[top], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
-    return IvfPq(dim, centroids, words, parts, probes, max(200, 10 * k))
+    return IvfPq(dim, centroids, words, parts, probes, max(400, 20 * k))
 
 
 def search(
@@ -148,12 +154,12 @@ def search(
     def make_rows():
         def fn(v: pa.ListArray) -> list:
             x = np.ascontiguousarray(matrix(v))
-            lists, codes = sent.value.encode(x)
-            return [pa.array(lists.astype(np.int32)), [c.tobytes() for c in codes], [r.tobytes() for r in x]]
+            lists, length, codes = sent.value.encode(x)
+            return [pa.array(lists.astype(np.int32)), pa.array(length), [c.tobytes() for c in codes], [r.tobytes() for r in x]]
 
         return fn
 
-    out = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("raw", T.BinaryType())])
+    out = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("length", T.DoubleType()), T.StructField("codes", T.BinaryType()), T.StructField("raw", T.BinaryType())])
     coded = checkpoint(arrow_columns(clean(rows), ["v"], out, make_rows, keep=["id"]))
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in coded.groupBy("list").count().collect():
@@ -190,6 +196,7 @@ def search(
         place = np.empty(len(r), np.int64)
         place[order] = np.arange(len(r)) - np.repeat(np.flatnonzero(np.diff(copy_of[order], prepend=-1)), np.bincount(copy_of))
         keep = place <= k
+        length = r["length"].to_numpy()[keep].astype(np.float32)
         x, ids, codes, copies = x[keep], ids[keep], codes[keep], np.bincount(copy_of[keep], minlength=1).max()
         y = np.frombuffer(b"".join(q["raw"]), np.float64).reshape(len(q), -1)
         names, depth, found = q["id"].to_numpy(), min(len(ids), index.depth * int(copies)), []
@@ -199,6 +206,8 @@ def search(
             near = np.zeros((len(part), len(ids)), np.float32)
             for m in range(codes.shape[1]):
                 near += table[:, m, :][:, codes[:, m]]
+            near *= length
+            near += (part @ index.centroids[r["list"].iat[0]])[:, None].astype(np.float32)
             best = np.argpartition(-near, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
             score = np.stack([(x[b] * p).sum(axis=1) for b, p in zip(best, part, strict=True)])
             for i, name in enumerate(names[lo : lo + 32]):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, bpe, bwt, chat, decontam, langid, secrets, substrings, toxicity
+from kinfold.llm import ann, bpe, bwt, chat, decontam, jaccard, langid, secrets, substrings, toxicity
 from kinfold.llm.common import fold, table
 
 
@@ -20,6 +20,30 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its class, the number of its links, and how many of those have an equal set."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+OP10_SQL = r"""
+WITH RECURSIVE doc_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM doc_words, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v, k = x.n AND k = y.n AS copy FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), classes AS (SELECT u, min(v) AS class_id FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n_links, count(*) FILTER (copy) AS n_copies FROM links GROUP BY u)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 0)::BIGINT AS n_copies
+FROM documents d JOIN classes c ON d.doc_id = c.u LEFT JOIN counts n ON d.doc_id = n.u
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: the items it holds to 0.8 or more, by five-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,7 +168,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_ann": op3_ann, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid, "op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontamination": op2_decontamination, "op3_ann": op3_ann, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_chat": op6_chat, "op7_toxicity": op7_toxicity, "op8_langid": op8_langid, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard": op10_jaccard}
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -162,4 +186,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(6 + role_chars + 1 + text_chars + 7)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op6_chat": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op6_chat": OP6_SQL, "op10_jaccard": OP10_SQL}

@@ -72,12 +72,12 @@ ve AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v, 1::BIGINT AS w FRO
 
 
 def _d2(a: str, b: str) -> str:
-    return f"list_sum(list_transform(list_zip({a}, {b}), p -> (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
 def _stats_sql(nodes: str) -> str:
-    return f"""ns AS (SELECT id, attrs, list_sum(list_transform(attrs, x -> x * x)) AS attr_sqr, list_sum(list_transform(attrs, x -> abs(x))) AS abs_sum,
-  list_max(list_transform(attrs, x -> abs(x))) AS abs_max, list_min(list_transform(attrs, x -> abs(x))) AS abs_min, len(list_filter(attrs, x -> x < 0)) > 0 AS negative FROM {nodes})"""
+    return f"""ns AS (SELECT id, attrs, list_sum(list_transform(attrs, lambda x: x * x)) AS attr_sqr, list_sum(list_transform(attrs, lambda x: abs(x))) AS abs_sum,
+  list_max(list_transform(attrs, lambda x: abs(x))) AS abs_max, list_min(list_transform(attrs, lambda x: abs(x))) AS abs_min, len(list_filter(attrs, lambda x: x < 0)) > 0 AS negative FROM {nodes})"""
 
 
 def _grouped(g: G.AttributedGraph) -> DataFrame:
@@ -415,24 +415,24 @@ def pruning_rate(spark, sf):
 
 # Pivot indexes.
 
-_PIVOTS_SQL = "pv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {p}::DOUBLE[])" for i, p in enumerate(PIVOTS)) + ") t(pivot, attrs))"
-_NEAR = f"nearp AS (SELECT id, attrs, arg_min(pivot, (d2, pivot)) AS pivot, min(d2) AS d2 FROM (SELECT n.id, n.attrs, p.pivot, {_d2('n.attrs', 'p.attrs')} AS d2 FROM un n, pv p) GROUP BY id, attrs)"
+_PIVOTS_SQL = "pv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {p}::DOUBLE[])" for i, p in enumerate(PIVOTS)) + ") t(piv, attrs))"
+_NEAR = f"nearp AS (SELECT id, attrs, arg_min(piv, (d2, piv)) AS piv, min(d2) AS d2 FROM (SELECT n.id, n.attrs, p.piv, {_d2('n.attrs', 'p.attrs')} AS d2 FROM un n, pv p) GROUP BY id, attrs)"
 
 
-@query("point_pivot", f"WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR} SELECT id, pivot::INT AS pivot, round(d2, 6) AS d2 FROM nearp")
+@query("point_pivot", f"WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR} SELECT id, piv::INT AS \"pivot\", round(d2, 6) AS d2 FROM nearp")
 def point_pivot(spark, sf):
     at = _INDEX.attach(users(spark, sf).nodes)
     return at.select("id", "pivot", F.round(F.get(F.col("d2s"), F.col("pivot")), 6).alias("d2"))
 
 
-@query("pivot_pairs", f"WITH {_PIVOTS_SQL} SELECT a.pivot::INT AS p, b.pivot::INT AS q, round({_d2('a.attrs', 'b.attrs')}, 6) AS d2 FROM pv a, pv b")
+@query("pivot_pairs", f"WITH {_PIVOTS_SQL} SELECT a.piv::INT AS p, b.piv::INT AS q, round({_d2('a.attrs', 'b.attrs')}, 6) AS d2 FROM pv a, pv b")
 def pivot_pairs(spark, sf):
     k = len(PIVOTS)
     return spark.createDataFrame([(i // k, i % k, d) for i, d in enumerate(_INDEX.table())], "p int, q int, d2 double")
 
 
-@query("kmeans_lloyd_step", f"""WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR}, x AS (SELECT pivot, i, avg(attrs[i]) AS x FROM nearp, unnest([1, 2, 3, 4, 5]) t(i) GROUP BY ALL)
-SELECT p.pivot::INT AS pivot, (i - 1)::INT AS pos, round(coalesce(x, p.attrs[i]), 6) AS x FROM pv p CROSS JOIN unnest([1, 2, 3, 4, 5]) t(i) LEFT JOIN x USING (pivot, i)""")
+@query("kmeans_lloyd_step", f"""WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR}, x AS (SELECT piv, i, avg(attrs[i]) AS x FROM nearp, unnest([1, 2, 3, 4, 5]) t(i) GROUP BY ALL)
+SELECT p.piv::INT AS "pivot", (i - 1)::INT AS pos, round(coalesce(x, p.attrs[i]), 6) AS x FROM pv p CROSS JOIN unnest([1, 2, 3, 4, 5]) t(i) LEFT JOIN x USING (piv, i)""")
 def kmeans_lloyd_step(spark, sf):
     new = I.lloyd_step(users(spark, sf).nodes, _INDEX)
     return _rounded(new.select("pivot", F.posexplode("centroid").alias("pos", "x")), "x")
@@ -441,7 +441,7 @@ def kmeans_lloyd_step(spark, sf):
 JL = [[((i * 37 + j * 101) % 19 - 9) / 9.0 for j in range(5)] for i in range(3)]
 
 
-@query("jl_projection", f"""WITH {SQL_USERS} SELECT id, {', '.join(f'round(list_sum(list_transform(list_zip(attrs, {row}::DOUBLE[]), p -> p[1] * p[2])), 6) AS y{i}' for i, row in enumerate(JL))} FROM un""")
+@query("jl_projection", f"""WITH {SQL_USERS} SELECT id, {', '.join(f'round(list_sum(list_transform(list_zip(attrs, {row}::DOUBLE[]), lambda p: p[1] * p[2])), 6) AS y{i}' for i, row in enumerate(JL))} FROM un""")
 def jl_projection(spark, sf):
     nodes = users(spark, sf).nodes.withColumn("y", V.project(F.col("attrs"), JL))
     return nodes.select("id", *[F.round(F.get("y", i), 6).alias(f"y{i}") for i in range(3)])
@@ -454,7 +454,7 @@ def top_degree_candidates(spark, sf):
     return I.top_degree(G.degrees(g.nodes, g.edges), 100)
 
 
-@query("cluster_medoids", f"""WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR} SELECT pivot::INT AS pivot, arg_min(id, (round(d2, 9), id)) AS medoid, count(*) AS size, round(sum(d2), 6) AS cost FROM nearp GROUP BY pivot""")
+@query("cluster_medoids", f"""WITH {SQL_USERS}, {_PIVOTS_SQL}, {_NEAR} SELECT piv::INT AS "pivot", arg_min(id, (round(d2, 9), id)) AS medoid, count(*) AS size, round(sum(d2), 6) AS cost FROM nearp GROUP BY piv""")
 def cluster_medoids(spark, sf):
     return _rounded(I.medoids(_INDEX.attach(users(spark, sf).nodes), _INDEX), "cost")
 
@@ -489,7 +489,7 @@ def nn_summary(spark, sf):
 
 def _profile_sql(name: str, n: str, e: str) -> str:
     return f"""SELECT '{name}' AS dataset, (SELECT count(*) FROM {n}) AS n_nodes, (SELECT count(*) FROM {e}) AS n_edges, (SELECT max(len(attrs)) FROM {n})::BIGINT AS dims,
-(SELECT sum(len(list_filter(attrs, x -> x < 0))) FROM {n})::BIGINT AS negative, (SELECT sum(len(list_filter(attrs, x -> x = 0))) FROM {n})::BIGINT AS zeros, (SELECT sum(len(attrs)) FROM {n})::BIGINT AS total"""
+(SELECT sum(len(list_filter(attrs, lambda x: x < 0))) FROM {n})::BIGINT AS negative, (SELECT sum(len(list_filter(attrs, lambda x: x = 0))) FROM {n})::BIGINT AS zeros, (SELECT sum(len(attrs)) FROM {n})::BIGINT AS total"""
 
 
 @query("dataset_profile", f"""WITH {SQL_PARTS}, {SQL_USERS}, a AS ({_profile_sql('parts', 'pn', 'pe')} UNION ALL {_profile_sql('users', 'un', 'ue')}),
@@ -500,12 +500,12 @@ def dataset_profile(spark, sf):
     return _rounded(S.dataset_profile({"parts": (p.nodes, p.edges), "users": (u.nodes, u.edges)}), "sparsity")
 
 
-@query("sparsity", f"WITH {SQL_USERS} SELECT round(sum(len(list_filter(attrs, x -> x <> 0))) / sum(len(attrs)), 6) AS nonzero_ratio, sum(len(list_filter(attrs, x -> x <> 0))) / sum(len(attrs)) < 0.5 AS is_sparse FROM un")
+@query("sparsity", f"WITH {SQL_USERS} SELECT round(sum(len(list_filter(attrs, lambda x: x <> 0))) / sum(len(attrs)), 6) AS nonzero_ratio, sum(len(list_filter(attrs, lambda x: x <> 0))) / sum(len(attrs)) < 0.5 AS is_sparse FROM un")
 def sparsity(spark, sf):
     return _rounded(S.sparsity(users(spark, sf).nodes), "nonzero_ratio")
 
 
-_JLV = "[" + ", ".join(f"list_sum(list_transform(list_zip(attrs, {row}::DOUBLE[]), p -> p[1] * p[2]))" for row in JL) + "]"
+_JLV = "[" + ", ".join(f"list_sum(list_transform(list_zip(attrs, {row}::DOUBLE[]), lambda p: p[1] * p[2]))" for row in JL) + "]"
 
 
 @query("distortion", f"""WITH {SQL_USERS}, {_UPAIRS}, y AS (SELECT id, {_JLV} AS y FROM un),

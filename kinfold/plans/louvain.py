@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from kinfold.operators import moves as M
 from kinfold.operators.index import PivotIndex
 from kinfold.operators.modularity import modularity
 from kinfold.operators.predicates import predicate
+from kinfold.plans import small
 from kinfold.sources.storage import cut
 
 
@@ -60,12 +62,19 @@ def prepare(g: G.AttributedGraph, pruning: str, pivots: int = 16, index: PivotIn
 def local_moving(
     edges: DataFrame, membership: DataFrame, nodes: DataFrame, r: float | None, test, policy: str = "active", gamma: float = 1.0,
     feasibility_cache: bool = False, max_rounds: int | None = None, within: DataFrame | None = None, level: int = 0, log: list[dict] | None = None,
+    small_edges: int = 200_000, small_values: int = 4_000_000,
 ) -> tuple[DataFrame, int]:
     """(assign, moves) once no move is left, or after max_rounds.
 
     feasibility_cache keeps pairs (u, c) found infeasible as long as c gains or loses
     no member.  within, a table (h, parent), forbids moves between different parents.
+    A level of at most small_edges edges, small_edges nodes and small_values numbers in its nodes'
+    vectors is moved in one process, by the same rule and with the same result.
     """
+    if 0 < small_edges and edges.limit(small_edges + 1).count() <= small_edges and membership.limit(small_edges + 1).count() <= small_edges:
+        width = 1 if r is None else (nodes.select(F.size("attrs").alias("d")).first() or {"d": 0})["d"]
+        if membership.count() * width <= small_values:
+            return _move_small(edges, membership, nodes, r, policy, gamma, feasibility_cache, max_rounds, within, level, log)
     hypers = membership.select("h").distinct()
     m = G.total_weight(edges)
     degree = cut(G.degrees(hypers.withColumnRenamed("h", "id"), edges).select(F.col("id").alias("h"), F.col("degree").alias("k")))
@@ -114,9 +123,21 @@ def local_moving(
     return assign.select("h", "c"), total
 
 
+def _move_small(edges, membership, nodes, r, policy, gamma, cache, max_rounds, within, level, log) -> tuple[DataFrame, int]:
+    bad = F.col("flag") == "violated" if "flag" in edges.columns else F.lit(False)
+    links = [tuple(x) for x in edges.select("u", "v", "w", bad.alias("bad")).collect()]
+    rows = membership.select("h").distinct().collect() if r is None else membership.join(nodes.select(F.col("id").alias("node"), "attrs"), "node").select("h", "attrs").collect()
+    held: dict[int, list] = {}
+    for x in rows:
+        held.setdefault(x["h"], []).append([] if r is None else x["attrs"])
+    parent = None if within is None else {x["h"]: x["parent"] for x in within.collect()}
+    found, total = small.rounds(links, {h: np.array(v, float) for h, v in sorted(held.items())}, r, policy, gamma, cache, max_rounds, parent, level, log)
+    return edges.sparkSession.createDataFrame(list(found.items()), "h long, c long"), total
+
+
 def constrained_louvain(
     g: G.AttributedGraph, r: float | None, policy: str = "active", pruning: str = "none", edge_flags: bool = False, feasibility_cache: bool = False,
-    gamma: float = 1.0, pivots: int = 16, index: PivotIndex | None = None, max_rounds: int | None = None, max_levels: int | None = None,
+    gamma: float = 1.0, pivots: int = 16, index: PivotIndex | None = None, max_rounds: int | None = None, max_levels: int | None = None, small_edges: int = 200_000,
 ) -> Run:
     """A partition of high modularity in which no two nodes of a community lie farther apart than r (None: no constraint).
 
@@ -132,7 +153,7 @@ def constrained_louvain(
     log: list[dict] = []
     level = 0
     while True:
-        assign, moved = local_moving(edges, membership, nodes, r, test, policy, gamma, feasibility_cache, max_rounds, level=level, log=log)
+        assign, moved = local_moving(edges, membership, nodes, r, test, policy, gamma, feasibility_cache, max_rounds, level=level, log=log, small_edges=small_edges)
         if not moved:
             break
         assign = cut(assign)

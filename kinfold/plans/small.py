@@ -1,0 +1,102 @@
+"""The rounds of local moving for a graph that fits one process, by the same rule as the distributed ones.
+
+Contraction shrinks a graph quickly; once its edges and its nodes' values are under the
+bounds given, a round costs less here than the start of one Spark job.
+"""
+
+from __future__ import annotations
+
+import time
+from collections import defaultdict
+
+import numpy as np
+
+
+def _near(x: np.ndarray, y: np.ndarray, rr: float) -> bool:
+    """Whether no row of x and row of y are farther apart than the root of rr, a thousand rows at a time."""
+    for lo in range(0, len(x), 1000):
+        if (((x[lo : lo + 1000, None, :] - y[None, :, :]) ** 2).sum(axis=2) > rr).any():
+            return False
+    return True
+
+
+def rounds(
+    edges: list[tuple[int, int, int, bool]], members: dict[int, np.ndarray], r: float | None, policy: str, gamma: float,
+    cache: bool, max_rounds: int | None, parent: dict[int, int] | None, level: int, log: list[dict] | None,
+) -> tuple[dict[int, int], int]:
+    """(community of each hypernode, moves).  edges: (u, v, w, violated); members: the vectors of each hypernode's nodes."""
+    near: dict[int, dict[int, list]] = {h: {} for h in members}
+    degree: dict[int, int] = dict.fromkeys(members, 0)
+    m = 0
+    for u, v, w, bad in edges:
+        m += w
+        degree[u] += w
+        degree[v] += w
+        if u != v and (parent is None or parent[u] == parent[v]):
+            for a, b in ((u, v), (v, u)):
+                old = near[a].setdefault(b, [0, False])
+                old[0] += w
+                old[1] |= bad
+    community = {h: h for h in members}
+    inside: dict[int, set[int]] = {h: {h} for h in members}
+    sums = dict(degree)
+    least = max(1.0, 2e-10 * m * m) if gamma == 1.0 else 2e-10 * m * m
+    active: set[int] | None = None
+    known: set[tuple[int, int]] = set()
+    total = number = 0
+    while m and (max_rounds is None or number < max_rounds):
+        began, tried, blocked = time.time(), 0, 0
+        best: dict[int, tuple] = {}
+        for u in members if active is None else active:
+            s, k = community[u], degree[u]
+            weight: dict[int, int] = defaultdict(int)
+            broken = set()
+            for v, (w, bad) in near[u].items():
+                weight[community[v]] += w
+                if bad:
+                    broken.add(community[v])
+            own = weight.pop(s, 0)
+            for c, w in weight.items():
+                if c in broken:
+                    continue
+                g = 2 * m * (w - own) - k * (sums[c] - sums[s] + k) if gamma == 1.0 else round(2.0 * m * (w - own) - gamma * k * (sums[c] - sums[s] + k), 6)
+                if g < least:
+                    continue
+                if r is not None:
+                    if (u, c) in known:
+                        continue
+                    tried += 1
+                    if not all(_near(members[u], members[h], r * r) for h in inside[c]):
+                        blocked += 1
+                        if cache:
+                            known.add((u, c))
+                        continue
+                if u not in best or (g, c) > best[u][:2]:
+                    best[u] = (g, c, s)
+        first: dict[int, tuple] = {}
+        for u, (g, c, s) in best.items():
+            for x in (s, c):
+                first[x] = max(first.get(x, (g, -u)), (g, -u))
+        taken = [(u, s, c) for u, (_, c, s) in best.items() if first[s][1] == -u and first[c][1] == -u]
+        if log is not None:
+            log.append({"level": level, "round": number, "attempts": tried, "blocked": blocked, "moves": len(taken), "seconds": time.time() - began})
+        number += 1
+        if not taken:
+            if active is None:
+                break
+            active = None
+            continue
+        total += len(taken)
+        touched = set()
+        for u, s, c in taken:
+            community[u] = c
+            inside[s].discard(u)
+            inside[c].add(u)
+            sums[s] -= degree[u]
+            sums[c] += degree[u]
+            touched |= {s, c}
+        if policy == "active":
+            active = {h for c in touched for h in inside[c]}
+            active |= {v for h in active for v in near[h]}
+        known = {(u, c) for u, c in known if c not in touched}
+    return community, total

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read from there; a folder is made only where none is named."""
-    sc = df.sparkSession.sparkContext
+    """df written as Parquet to the session's checkpoint folder and read from there, so that it is computed once.
+
+    A folder is made only where the session names none.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinfold-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

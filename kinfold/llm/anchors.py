@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BASE, checkpoint, mix
+from kinfold.llm.common import BASE, checkpoint_dir, mix
 
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -81,9 +81,7 @@ def contexts(x: np.ndarray, window: int, anchor: int, piece: int = 1 << 23) -> t
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder, and read from there."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        return checkpoint(df)
+    folder = checkpoint_dir(spark)
     path = f"{folder}/kinfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -73,7 +73,7 @@ class LanguageModel:
         new = np.ones(len(state), bool)
         new[1:] = (state[1:] != state[:-1]) | (doc[1:] != doc[:-1])
         runs = np.flatnonzero(new)
-        lasts = np.append(runs[1:], len(state)) - 1
+        lasts = np.append(runs[1:], len(state))[: len(runs)] - 1
         n_spans = np.bincount(doc[runs], minlength=len(texts))
         known = n_words > 0
         lang = [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]

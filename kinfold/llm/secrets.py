@@ -78,7 +78,9 @@ def identifier_samples(docs: DataFrame, text_col: str, documents: int = 2000) ->
 
 
 def train(samples: DataFrame, threshold: float = 0.35) -> MarkovRatio:
-    """Both models from samples (value string, random boolean), by counts of character pairs with add-half smoothing.
+    """Both models from samples (value string, random boolean), by counts of character pairs.
+
+    Pairs back off to the counts of their second character, those with a half added.
 
     The counts that reach the driver are at most two for each pair of characters.
     Without samples all ratios are 0 and nothing is called random.
@@ -90,10 +92,12 @@ def train(samples: DataFrame, threshold: float = 0.35) -> MarkovRatio:
         .where("p.a > 0 AND p.b > 0").groupBy("random", "p.a", "p.b").count().collect()
     )
     n = len(ALPHABET)
-    count = np.full((2, n, n), 0.5)
+    count = np.zeros((2, n, n))
     for r in rows:
         count[int(r["random"]), r["a"] - 1, r["b"] - 1] += r["count"]
-    logs = np.log(count / count.sum(axis=2, keepdims=True))
+    single = count.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    logs = np.log((count + 10 * single[:, None, :]) / (count.sum(axis=2, keepdims=True) + 10))
     return MarkovRatio(tuple(np.round(logs[1] - logs[0], 6).ravel().tolist()), threshold)
 
 

@@ -194,8 +194,8 @@ def train(labelled: DataFrame, rows: int = 20_000, lexicon: int = 4_000) -> Toxi
     out = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
     got = arrow_columns(some, ["text", "half"], out, make, keep=["doc_id", "toxic"]).toPandas().sort_values("doc_id", kind="stable")
     x, y = np.array(got["x"].tolist()), got["toxic"].to_numpy(float)
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[~held])) < 2 or not held.any():
+    held = np.random.default_rng(5).permutation(len(y)) % 4 == 3
+    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     trees = boost(x[~held], y[~held])
     use = held if held.any() else ~held

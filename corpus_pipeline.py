@@ -33,9 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         # Texts without words are classes of their own, so that rows of one id differ by their text too.
         kept = kept.dropDuplicates(["class_id", "text"])
         wordy = kept.where(F.coalesce(F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]", "")), F.lit(0)) > 0)
-        kept = kept.join(wordy.select("class_id"), "class_id", "left_anti").union(
-            wordy.select(kept.columns).dropDuplicates(["class_id"])
-        )
+        wordless = kept.join(wordy.select("class_id"), "class_id", "left_anti")
+        kept = wordless.unionByName(wordy.dropDuplicates(["class_id"]))
     return kept.select(*docs.columns)
 
 

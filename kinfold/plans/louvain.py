@@ -74,7 +74,7 @@ def local_moving(
     if 0 < small_edges and edges.limit(small_edges + 1).count() <= small_edges and membership.limit(small_edges + 1).count() <= small_edges:
         width = 1 if r is None else (nodes.select(F.size("attrs").alias("d")).first() or {"d": 0})["d"]
         if membership.count() * width <= small_values:
-            return _move_small(edges, membership, nodes, r, policy, gamma, feasibility_cache, max_rounds, within, level, log)
+            return _move_small(edges, membership, nodes, r, policy, gamma, max_rounds, within, level, log)
     hypers = membership.select("h").distinct()
     m = G.total_weight(edges)
     degree = cut(G.degrees(hypers.withColumnRenamed("h", "id"), edges).select(F.col("id").alias("h"), F.col("degree").alias("k")))
@@ -123,7 +123,7 @@ def local_moving(
     return assign.select("h", "c"), total
 
 
-def _move_small(edges, membership, nodes, r, policy, gamma, cache, max_rounds, within, level, log) -> tuple[DataFrame, int]:
+def _move_small(edges, membership, nodes, r, policy, gamma, max_rounds, within, level, log) -> tuple[DataFrame, int]:
     bad = F.col("flag") == "violated" if "flag" in edges.columns else F.lit(False)
     links = [tuple(x) for x in edges.select("u", "v", "w", bad.alias("bad")).collect()]
     rows = membership.select("h").distinct().collect() if r is None else membership.join(nodes.select(F.col("id").alias("node"), "attrs"), "node").select("h", "attrs").collect()
@@ -131,7 +131,7 @@ def _move_small(edges, membership, nodes, r, policy, gamma, cache, max_rounds, w
     for x in rows:
         held.setdefault(x["h"], []).append([] if r is None else x["attrs"])
     parent = None if within is None else {x["h"]: x["parent"] for x in within.collect()}
-    found, total = small.rounds(links, {h: np.array(v, float) for h, v in sorted(held.items())}, r, policy, gamma, cache, max_rounds, parent, level, log)
+    found, total = small.rounds(links, {h: np.array(v, float) for h, v in sorted(held.items())}, r, policy, gamma, max_rounds, parent, level, log)
     return edges.sparkSession.createDataFrame(list(found.items()), "h long, c long"), total
 
 

@@ -22,9 +22,9 @@ def _near(x: np.ndarray, y: np.ndarray, rr: float) -> bool:
 
 def rounds(
     edges: list[tuple[int, int, int, bool]], members: dict[int, np.ndarray], r: float | None, policy: str, gamma: float,
-    cache: bool, max_rounds: int | None, parent: dict[int, int] | None, level: int, log: list[dict] | None,
+    max_rounds: int | None, parent: dict[int, int] | None, level: int, log: list[dict] | None,
 ) -> tuple[dict[int, int], int]:
-    """(community of each hypernode, moves).  edges: (u, v, w, violated); members: the vectors of each hypernode's nodes."""
+    """(community of each hypernode, moves); feasibility is always kept while a community stays as it is.  edges: (u, v, w, violated); members: the vectors of each hypernode's nodes."""
     near: dict[int, dict[int, list]] = {h: {} for h in members}
     degree: dict[int, int] = dict.fromkeys(members, 0)
     m = 0
@@ -42,7 +42,8 @@ def rounds(
     sums = dict(degree)
     least = max(1.0, 2e-10 * m * m) if gamma == 1.0 else 2e-10 * m * m
     active: set[int] | None = None
-    known: set[tuple[int, int]] = set()
+    known: dict[tuple[int, int], bool] = {}  # feasibility, as long as the community stays as it is
+    rows: dict[int, np.ndarray] = {}
     total = number = 0
     while m and (max_rounds is None or number < max_rounds):
         began, tried, blocked = time.time(), 0, 0
@@ -50,7 +51,7 @@ def rounds(
         for u in members if active is None else active:
             s, k = community[u], degree[u]
             weight: dict[int, int] = defaultdict(int)
-            broken = set()
+            broken, offers = set(), []
             for v, (w, bad) in near[u].items():
                 weight[community[v]] += w
                 if bad:
@@ -62,17 +63,21 @@ def rounds(
                 g = 2 * m * (w - own) - k * (sums[c] - sums[s] + k) if gamma == 1.0 else round(2.0 * m * (w - own) - gamma * k * (sums[c] - sums[s] + k), 6)
                 if g < least:
                     continue
-                if r is not None:
-                    if (u, c) in known:
-                        continue
+                offers.append((g, c))
+            if r is None:
+                if offers:
+                    best[u] = (*max(offers), s)
+                continue
+            for g, c in sorted(offers, reverse=True):  # the best first, until one is feasible
+                if (u, c) not in known:
                     tried += 1
-                    if not all(_near(members[u], members[h], r * r) for h in inside[c]):
-                        blocked += 1
-                        if cache:
-                            known.add((u, c))
-                        continue
-                if u not in best or (g, c) > best[u][:2]:
+                    if c not in rows:
+                        rows[c] = np.concatenate([members[h] for h in inside[c]])
+                    known[u, c] = _near(members[u], rows[c], r * r)
+                    blocked += not known[u, c]
+                if known[u, c]:
                     best[u] = (g, c, s)
+                    break
         first: dict[int, tuple] = {}
         for u, (g, c, s) in best.items():
             for x in (s, c):
@@ -98,5 +103,7 @@ def rounds(
         if policy == "active":
             active = {h for c in touched for h in inside[c]}
             active |= {v for h in active for v in near[h]}
-        known = {(u, c) for u, c in known if c not in touched}
+        known = {k: ok for k, ok in known.items() if k[1] not in touched}
+        for c in touched:
+            rows.pop(c, None)
     return community, total

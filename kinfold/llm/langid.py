@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import arrow_columns
+from kinfold.llm.common import arrow_columns, bounded_sample
 
 #: The first code points of script ranges, and the script of each range.
 SCRIPT_STARTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xE00, 0xE80, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000, 0x323B0])
@@ -133,12 +133,12 @@ def viterbi(emit: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
 def train(docs: DataFrame, rows: int = 8_000, bits: int = 17, switch: float = 12.0) -> LanguageModel:
     """A model from texts with a language (doc_id, text, lang); rows with either null are left out.
 
-    The fit uses the ``rows`` rows of the smallest hash of doc_id, whole texts.
+    The fit uses a sample of about ``rows`` rows, by the hash of doc_id, and their whole texts.
     What reaches the driver is one count for each language and trigram slot (2**bits).
     Without rows the model knows no language and calls every text ``und``.
     """
     some = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = bounded_sample(some, "doc_id", rows)
     out = "lang string, kind int, slot long, n long"
 
     def count(batches):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import ann, bpe, bwt, chat, decontam, jaccard, langid, secrets, substrings, toxicity
-from kinfold.llm.common import fold, table
+from kinfold.llm.common import bounded_sample, fold, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> toxicity.ToxicityModel:
     """Fitted to labels of the folds 1 to 4 only; the ids of the bounded sample are small enough to send to every task."""
     seen = labels.where((fold("doc_id", 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = bounded_sample(seen, "doc_id", rows)
     return toxicity.train(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), rows)
 
 

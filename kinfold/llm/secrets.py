@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import bounded_sample
+
 #: Fixed patterns, as Java reads them; each kind with the group whose length counts and the least length.
 BASE = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -64,11 +66,11 @@ def random_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 def identifier_samples(docs: DataFrame, text_col: str, documents: int = 2000) -> DataFrame:
     """Labelled samples of ordinary strings: the words of a bounded sample of documents that no base pattern matches.
 
-    The bound is the ``documents`` of the smallest text hash; words next to each other
+    The bound is about ``documents`` documents, by the hash of the text; words next to each other
     are joined by underscores, hyphens and slashes, as identifiers and paths are.
     """
     some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-    some = some.orderBy(F.xxhash64("t")).limit(documents)
+    some = bounded_sample(some, "t", documents)
     for kind in BASE:
         some = some.where(~F.col("t").rlike(MAYBE[kind]))
     words = F.regexp_extract_all("t", F.lit(r"([A-Za-z]{3,})"), 1)

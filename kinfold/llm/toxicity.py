@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import arrow_columns
+from kinfold.llm.common import arrow_columns, bounded_sample
 
 #: Fixed word lists: insults, and words of the second person in English, German, French and Spanish.
 INSULTS = frozenset("idiot moron clown trash stupid pathetic disgusting worthless scum loser dumb fool imbecile jerk filthy garbage".split())
@@ -164,7 +164,7 @@ def _lexicon(pos: np.ndarray, neg: np.ndarray, words: np.ndarray, total: tuple[i
 def train(labelled: DataFrame, rows: int = 20_000, lexicon: int = 4_000) -> ToxicityModel:
     """A model from labelled texts (doc_id, text, toxic 0 or 1).
 
-    The fit uses the ``rows`` rows of the smallest hash of doc_id: that many feature
+    The fit uses a sample of about ``rows`` rows, by the hash of doc_id: that many feature
     rows reach the driver, and of their words only those in at least 4 toxic texts.
     The learned lexicon has ``lexicon`` words at most.  Each half of the sample is
     given features by the lexicon learned from the other, so that trees see the
@@ -173,7 +173,7 @@ def train(labelled: DataFrame, rows: int = 20_000, lexicon: int = 4_000) -> Toxi
     the share of ones, or 0 without any row.
     """
     some = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = bounded_sample(some, "doc_id", rows)
     some = some.withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).cast("int"))
     counts = _word_counts(some).where("n01 + n11 >= 4").toPandas()
     sizes = {(r["half"], r["toxic"]): r["count"] for r in some.groupBy("half", "toxic").count().collect()}

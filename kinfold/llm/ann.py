@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.common import arrow_columns, checkpoint
+from kinfold.llm.common import arrow_columns, bounded_sample, checkpoint
 
 
 def usable(v: Column) -> Column:
@@ -87,7 +87,7 @@ class IvfPq:
 
 
 def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, subspaces: int = 16, recall: float = 0.99, k: int = 20) -> IvfPq | None:
-    """Train on the ``sample`` rows of the smallest hash, the only rows that reach the driver.
+    """Train on a sample of about ``sample`` rows, by the hash of the vector, the only rows that reach the driver.
 
     The number of lists is half the root of the number of rows, 1,024 at most.  The
     number of lists visited is the least that finds ``recall`` of the true k nearest
@@ -95,7 +95,7 @@ def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, sub
     Without usable vectors there is no index (None).
     """
     good = vectors.where(usable(F.col(vector))).select(F.col(vector).cast("array<double>").alias("v"))
-    rows = good.orderBy(F.xxhash64("v")).limit(sample).collect()
+    rows = bounded_sample(good, "v", sample).collect()
     if not rows:
         return None
     lengths = pd.Series([len(r["v"]) for r in rows])
@@ -199,13 +199,15 @@ def search(
         length = r["length"].to_numpy()[keep].astype(np.float32)
         x, ids, codes, copies = x[keep], ids[keep], codes[keep], np.bincount(copy_of[keep], minlength=1).max()
         y = np.frombuffer(b"".join(q["raw"]), np.float64).reshape(len(q), -1)
-        names, depth, found = q["id"].to_numpy(), min(len(ids), index.depth * int(copies)), []
+        share = len(ids) / max(1.0, index.probes * sizes.sum() / len(sizes))  # of the rows that a query visits
+        depth = min(len(ids), max(10 * k, math.ceil(2 * index.depth * share)) * int(copies))
+        names, found = q["id"].to_numpy(), [[], [], []]
         for lo in range(0, len(y), 32):
             part = y[lo : lo + 32]
             table = index.tables(part).astype(np.float32)
             near = np.zeros((len(part), len(ids)), np.float32)
             for m in range(codes.shape[1]):
-                near += table[:, m, :][:, codes[:, m]]
+                near += np.take(table[:, m, :], codes[:, m], axis=1)
             near *= length
             near += (part @ index.centroids[r["list"].iat[0]])[:, None].astype(np.float32)
             best = np.argpartition(-near, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
@@ -214,8 +216,9 @@ def search(
                 other = ids[best[i]] != name
                 s, c = score[i][other], ids[best[i]][other]
                 top = np.lexsort((c, -s))[:k]
-                found.append(pd.DataFrame({"query_id": name, "vec_id": c[top], "score": s[top]}))
-        return pd.concat(found)
+                for column, v in zip(found, (np.full(len(top), name), c[top], s[top]), strict=True):
+                    column.append(v)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True)))
 
     pairs = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(rank, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -101,7 +101,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_windows(
     docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list], list], window: int, anchor: int,
-    within: bool, hot: int = 4096, batch_items: int = 1 << 20,
+    within: bool, hot: int = 4096, batch_bytes: int = 1 << 22, body: Callable[[str], np.ndarray] | None = None,
 ) -> DataFrame:
     """(d, t, ranges) of documents (d, t, text) in which some window repeats an earlier one.
 
@@ -110,6 +110,7 @@ def repeated_windows(
     items() gives a function from a text to its sequence of 64-bit items.  resolve
     takes contexts (document number, item array) in the order of documents and starts,
     and returns for each a boolean array: which of its windows repeat an earlier one.
+    body, if given, takes a text to an array of smaller items that resolve reads instead.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +129,12 @@ def repeated_windows(
 
     rows = docs.select("d", "t", "text").mapInArrow(scan, "d long, t long, a long, c long, lo int, n int")
     counts = rows.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    shared = counts.where("m > 1").select("a", (F.col("c0") != F.col("c1")).alias("many"))
+    # Written first, so that the join has shuffles of its own on both sides, which Spark can split at a hot anchor.
+    shared = written(counts.where("m > 1").select("a", (F.col("c0") != F.col("c1")).alias("many")))
     rows = written(rows.join(shared, "a"))
     first = F.min(F.struct("d", "t", "lo")).alias("f")
-    classes = rows.groupBy("a", "c").agg(first, F.count("*").alias("m"))
-    rows = rows.join(classes.where("m > 1").drop("m"), ["a", "c"], "left")
+    classes = written(rows.groupBy("a", "c").agg(first, F.count("*").alias("m")).where("m > 1").drop("m"))
+    rows = rows.join(classes, ["a", "c"], "left")
     same = (F.col("d") == F.col("f.d")) & (F.col("t") == F.col("f.t"))
     leads = F.col("f").isNull() | (same if not within else same & (F.col("lo") == F.col("f.lo")))
     rows = written(rows.withColumn("leads", leads).drop("f"))
@@ -150,10 +152,11 @@ def repeated_windows(
                 d, t, text, xs = (batch.column(i)[row].as_py() for i in range(4))
                 x = to_items(text)
                 plain = [r for r in xs if not r["hot"]]
-                kind, a, b, lo, n, body = [], [], [], [], [], []
+                raw = x if body is None else body(text)
+                kind, a, b, lo, n, bodies = [], [], [], [], [], []
                 for r in plain:
                     kind.append(0), a.append(r["a"]), b.append(0), lo.append(r["lo"]), n.append(r["n"])
-                    body.append(x[r["lo"] : r["lo"] + r["n"] + window - 1].tobytes())
+                    bodies.append(raw[r["lo"] : r["lo"] + r["n"] + window - 1].tobytes())
                 if len(plain) < len(xs):
                     at = np.unique(np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in xs if r["hot"]]))
                     h1, h2 = Hashes(x).of(at, at + window), Hashes(mix(x)).of(at, at + window)
@@ -162,10 +165,10 @@ def repeated_windows(
                     b += h2.view(np.int64).tolist()
                     lo += at.tolist()
                     n += [1] * len(at)
-                    body += [None] * len(at)
+                    bodies += [None] * len(at)
                 k = len(kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * k, pa.int64()), pa.array([t] * k, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())],
+                    [pa.array([d] * k, pa.int64()), pa.array([t] * k, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(bodies, pa.binary())],
                     names=["d", "t", "kind", "a", "b", "lo", "n", "body"],
                 )
 
@@ -173,15 +176,16 @@ def repeated_windows(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts come in the order of their anchors; a batch ends where an anchor does."""
+        kind = np.uint64 if body is None else np.uint8
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for d, t, a, lo, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size >= batch_items and a != last:
+            for d, t, a, lo, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if size >= batch_bytes and a != last:
                     yield settled(held)
                     held, size = [], 0
-                held.append((d, t, lo, np.frombuffer(body, np.uint64)))
-                size += len(body) // 8
+                held.append((d, t, lo, np.frombuffer(raw, kind)))
+                size += len(raw)
                 last = a
         if held:
             yield settled(held)

@@ -23,104 +23,103 @@ from kinfold.llm.common import arrow_columns, mix
 WINDOW, ANCHOR = 100, 32
 #: A 64-bit item for each byte.
 BYTE_ITEMS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SORTED = np.argsort(BYTE_ITEMS)
-
-
-def to_bytes(items: np.ndarray) -> np.ndarray:
-    return _SORTED[np.searchsorted(BYTE_ITEMS[_SORTED], items)].astype(np.uint8)
 
 
 def suffix_order(text: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a shard by their first ``depth`` bytes, by doubling; room is each suffix's length in its own text."""
-    rank = text.astype(np.int64) + 1
-    size = 1
-    while size < depth:
-        after = np.zeros(len(text), np.int64)
-        after[:-size] = np.where(room[:-size] > size, rank[size:], 0)
-        key = rank * (int(rank.max(initial=0)) + 2) + after
-        order = np.argsort(key, kind="stable")
-        step = np.diff(key[order], prepend=-1) != 0
-        rank = np.empty(len(text), np.int64)
+    """Suffixes of a shard by their first ``depth`` bytes, from eight-byte keys by doubling; room is each suffix's length in its own text."""
+    n = len(text)
+    key = np.zeros(n, np.uint64)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for j in range(8):
+        key |= np.where(room > j, padded[j : j + n], np.uint64(0)) << np.uint64(56 - 8 * j)
+    size = 8
+    while True:
+        order = np.argsort(key)
+        step = np.empty(n, bool)
+        step[:1], step[1:] = True, key[order[1:]] != key[order[:-1]]
+        if size >= depth or step.all():
+            return order
+        rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(step)
+        after = np.zeros(n, np.uint64)
+        after[:-size] = np.where(room[:-size] > size, rank[size:], np.uint64(0))
+        key = (rank << np.uint64(32)) | after
         size *= 2
-        if step.all():
-            break
-    return np.argsort(rank, kind="stable")
 
 
 class Shard:
-    """A shard's transform: the byte before each suffix in their order (-1: none), and where that longer suffix stands."""
+    """A shard's transform: the byte before each suffix in their order, where that longer suffix stands, and how far the suffix lies in its own text."""
 
-    def __init__(self, text: np.ndarray, room: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, room: np.ndarray, inside: np.ndarray, depth: int):
         self.order = suffix_order(text, room, depth)
-        place = np.empty(len(text), np.int64)
-        place[self.order] = np.arange(len(text))
-        inside = (self.order > 0) & (room[self.order] < np.append(room, 0)[self.order - 1])
-        self.before = np.where(inside, text[self.order - 1], -1).astype(np.int16)
-        self.back = np.where(inside, place[self.order - 1], 0)
+        place = np.empty(len(text), np.int32)
+        place[self.order] = np.arange(len(text), dtype=np.int32)
+        self.inside = inside[self.order]
+        self.before = text[self.order - 1]  # read only for suffixes that do not begin their text
+        self.back = place[self.order - 1]
 
 
 def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (numbered through all shards, in shard order) whose first ``depth`` bytes repeat, and their interval numbers."""
+    """Suffixes (numbered through all shards, in shard order) whose first ``depth`` bytes repeat, and their interval numbers.
+
+    Only suffixes with ``depth`` bytes before them start: what they reach has that many bytes after it.
+    """
     offset = np.cumsum([0] + [len(s.order) for s in shards])
     before = np.concatenate([s.before for s in shards])
-    back = np.concatenate([s.back + o for s, o in zip(shards, offset, strict=False)])
-    at = np.arange(offset[-1])  # the interleave before the first step: shard after shard
-    block = np.zeros(len(at), np.int64)
+    back = np.concatenate([s.back + np.int32(o) for s, o in zip(shards, offset, strict=False)])
+    inside = np.concatenate([s.inside for s in shards])
+    at = np.flatnonzero(inside >= depth).astype(np.int32)  # the interleave before the first step: shard after shard
+    block = np.zeros(len(at), np.int32)
     for _ in range(depth):
+        if not len(at):
+            break
         byte = before[at]
-        has = byte >= 0
-        at, block, byte = at[has], block[has], byte[has].astype(np.uint8)
         order = np.argsort(byte, kind="stable")
         at, block, byte = back[at[order]], block[order], byte[order]
-        if not len(at):
-            break
-        new = np.ones(len(at), bool)
-        new[1:] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new) - 1
-        several = np.bincount(block)[block] > 1
-        at, block = at[several], block[several]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
+        several = np.flatnonzero(~(new[:-1] & new[1:]))
+        block = np.cumsum(new[:-1], dtype=np.int32)[several]
+        at = at[several]
     text_at = np.concatenate([s.order + o for s, o in zip(shards, offset, strict=False)])
     return text_at[at], block
 
 
-def resolve(contexts: list[tuple[int, np.ndarray]], shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+def resolve(contexts: list[tuple[int, np.ndarray]], shard_bytes: int = 1 << 16) -> list[np.ndarray]:
     """Which windows of each context occur earlier, in the order in which the contexts come.
 
     A byte more stands at each context's end: the steps go from a suffix to the longer one
     before it, so that a suffix of W bytes is reached after W steps from the empty one.
     """
-    texts = [np.append(to_bytes(x), 0).astype(np.uint8) for _, x in contexts]
-    shards, room_of, lo = [], [], 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= shard_bytes):
-            size += len(texts[hi])
-            hi += 1
-        room = np.concatenate([np.arange(len(t), 0, -1) for t in texts[lo:hi]])
-        shards.append(Shard(np.concatenate(texts[lo:hi]), room, WINDOW))
-        room_of.append(room)
-        lo = hi
-    found, block = repeated_intervals(shards, WINDOW)
-    whole = np.concatenate(room_of) > WINDOW  # the byte at the end does not count
-    marks = np.zeros(len(whole), bool)
-    keep = whole[found]
-    found, block = found[keep], block[keep]
+    sizes = np.array([len(x) + 1 for _, x in contexts], np.int64)
+    ends = np.cumsum(sizes)
+    text = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for (_, x), e in zip(contexts, ends.tolist(), strict=True):
+        text[e - 1 - len(x) : e - 1] = x
+    inside = np.arange(len(text)) - np.repeat(ends - sizes, sizes)
+    room = np.repeat(sizes, sizes) - inside
+    cuts = [0]
+    for e in ends.tolist():
+        if e - cuts[-1] >= shard_bytes or e == len(text):
+            cuts.append(e)
+    shards = [Shard(text[a:b], room[a:b], inside[a:b], WINDOW) for a, b in zip(cuts, cuts[1:], strict=False)]
+    found, block = repeated_intervals(shards, WINDOW) if shards else (np.empty(0, np.int64), np.empty(0, np.int64))
+    marks = np.zeros(len(text), bool)
     if len(found):
         order = np.lexsort((found, block))
         found, block = found[order], block[order]
         marks[found[np.diff(block, prepend=-1) == 0]] = True
-    out, at = [], 0
-    for t in texts:
-        out.append(marks[at : at + len(t) - WINDOW])
-        at += len(t)
-    return out
+    return [marks[e - n : e - WINDOW] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def byte_items():
     return lambda text: BYTE_ITEMS[np.frombuffer(text.encode(), np.uint8)]
 
 
+def raw_bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): the bytes of texts without those of repeated 100-byte strings.
 
@@ -129,7 +128,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cross documents.  Null and empty texts keep no byte.  A null id is smaller than all others.
     """
     base = keyed(docs, id_col, text_col)
-    found = repeated_windows(base, byte_items, resolve, WINDOW, ANCHOR, within=True)
+    found = repeated_windows(base, byte_items, resolve, WINDOW, ANCHOR, within=True, body=raw_bytes)
     whole = base.join(found.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "ranges")
     out = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
 

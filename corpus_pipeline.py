@@ -25,17 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document of the smallest id; of rows that repeat its id, one."""
-    found = jaccard.near_duplicates(docs)
+    """Of each component of near duplicates, the document of the smallest id; of copies that repeat its id, the one of the least text hash.
+
+    Rows that share no more than an id, or a null one, are all kept.
+    """
+    found = jaccard.near_duplicates(docs, sets_too=True)
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = found.where(F.col("class_id") == own)
-    if not docs.groupBy(own.alias("d")).count().where("count > 1").isEmpty():
-        # Texts without words are classes of their own, so that rows of one id differ by their text too.
-        kept = kept.dropDuplicates(["class_id", "text"])
-        wordy = kept.where(F.coalesce(F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]", "")), F.lit(0)) > 0)
-        wordless = kept.join(wordy.select("class_id"), "class_id", "left_anti")
-        kept = wordless.unionByName(wordy.dropDuplicates(["class_id"]))
-    return kept.select(*docs.columns)
+    kept = found.where((F.col("class_id") == own) & F.col("set_id").eqNullSafe(F.col("first_set")))
+    if docs.groupBy(own.alias("d")).count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
+    kept = written(kept)
+    several = F.col("set_id").isNotNull() & (F.col("n_copies") > 0)
+    row = F.struct(*docs.columns)
+    ones = kept.where(several).groupBy("set_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
+    return kept.where(~several).select(*docs.columns).union(ones.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096)
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-    escape: float = 1e-6, limit: int = 2048, block: int = 768, slack: float = 0.25, splits: int = 3,
+    escape: float = 1e-6, limit: int = 2048, block: int = 768, slack: float = 0.25, splits: int = 3, sets_too: bool = False,
 ) -> DataFrame:
     """docs with class_id (long), n_links (long) and n_copies (long).
 
@@ -94,13 +94,17 @@ def near_duplicates(
     links and is a class of its own.  A null id counts as the least long.  Repeated
     rows are documents of their own, linked to each other.
 
+    ``sets_too`` adds set_id (binary), which stands for a document's set, and first_set
+    (binary), the least set_id among those of class_id in its component.  Unlike
+    class_id, first_set tells components of one id apart.  Both are null without words.
+
     ``escape`` is the probability with which a pair at the threshold may be missed by
     the runs; ``slack`` is how far below the threshold a sketch's estimate may lie for
     the exact count to be made (0.25 is five standard deviations of 64 coordinates).
     Buckets over ``limit`` are split up to ``splits`` times; what is left then, or
     is mostly alike, is compared in blocks, so that no pair is given up.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "n_links", "n_copies")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "n_links", "n_copies", *(["set_id", "first_set"] if sets_too else []))]
     runs = max(1, math.ceil(math.log(escape) / math.log(1 - threshold))) if threshold < 1 else 1
     base = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     outputs = T.StructType([T.StructField("__k", T.BinaryType()), T.StructField("__n", T.IntegerType()), T.StructField("__roots", T.ArrayType(T.LongType())), T.StructField("__sketch", T.BinaryType())])
@@ -218,9 +222,9 @@ def near_duplicates(
     classes = components(checked.where("v IS NOT NULL").select("u", "v")).select(F.col("u").alias("k"), "root")
     labelled = nodes.select("k", "d", "m").join(classes, "k", "left").join(links, "k", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "k"))
-    least = labelled.groupBy("root").agg(F.min("d").alias("class_id"))
+    least = labelled.groupBy("root").agg(F.min(F.struct("d", "k")).alias("least")).select("root", F.col("least.d").alias("class_id"), F.col("least.k").alias("first_set"))
     final = labelled.join(least, "root").select(
-        F.col("k").alias("__k"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), (F.col("m") - 1).alias("n_copies")
+        F.col("k").alias("__k"), "class_id", "first_set", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), (F.col("m") - 1).alias("n_copies")
     )
     key = T.StructType([outputs["__k"]])
 
@@ -232,7 +236,8 @@ def near_duplicates(
     out = rows.join(final, "__k", "left").withColumns({"class_id": F.coalesce("class_id", "__d"), "n_links": F.coalesce("n_links", F.lit(0)), "n_copies": F.coalesce("n_copies", F.lit(0))})
     if names == [id_col]:
         out = out.withColumn(id_col, F.when(F.col("__d") > -(1 << 63), F.col("__d")))
-    return out.select(*names, "class_id", "n_links", "n_copies")
+    more = [F.col("__k").alias("set_id"), "first_set"] if sets_too else []
+    return out.select(*names, "class_id", "n_links", "n_copies", *more)
 
 
 def _repeated(base: DataFrame) -> bool:

@@ -315,6 +315,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.ids == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in out.collect())
 
 
+def test_near_duplicates_of_one_id_are_told_apart(spark):
+    """Unrelated rows of one id, or of none, all stay; of near copies and copies one stays, as do all rows without words."""
+    base = [prose(80, 300 + i) for i in range(4)]
+    near = base[0].split()
+    near[40] = "changed"
+    rows = [(None, base[0]), (None, " ".join(near)), (None, base[1]), (None, base[1]), (None, base[1].upper()), (7, base[2]), (7, base[3]), (8, base[3]), (9, base[1])]
+    rows += [(None, None), (None, ""), (None, ""), (7, "--"), (7, "--")]
+    docs = documents(spark, [(i, t, None, None, None) for i, t in rows])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    words = sorted((str(i), t.lower()) for i, t in got if re.search(r"\w", t or ""))
+    kept = [x for x in words if x[1] in (base[0], " ".join(near))]
+    assert len(kept) == 1
+    assert [x for x in words if x not in kept] == sorted([("None", base[1]), ("7", base[2]), ("7", base[3])])
+    assert sorted((str(i), str(t)) for i, t in got if not re.search(r"\w", t or "")) == sorted((str(i), str(t)) for i, t in rows[9:])
+
+
 def test_folds_and_digests(spark):
     row = spark.range(50).select("id", queries.fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in row)

@@ -87,8 +87,8 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, t, text): d is the id, the least long for null; t is 0 where ids are unique, else a hash of the text.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(d, t, text) of all rows, and of all documents: d is the id, the least long for null; t is 0 where ids are unique, else a hash of the text.
 
     Rows of one id with equal texts are one document; with different texts they are
     documents of their own, in the order of that hash.
@@ -96,14 +96,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     repeated = not docs.groupBy(d.alias("d")).count().where("count > 1").isEmpty()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(d.alias("d"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("t"), text.alias("text"))
+    rows = docs.select(d.alias("d"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("t"), text.alias("text"))
+    return rows, written(rows.dropDuplicates(["d", "t"])) if repeated else rows
 
 
 def repeated_windows(
     docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list], list], window: int, anchor: int,
     within: bool, hot: int = 4096, batch_bytes: int = 1 << 22, body: Callable[[str], np.ndarray] | None = None,
 ) -> DataFrame:
-    """(d, t, ranges) of documents (d, t, text) in which some window repeats an earlier one.
+    """(d, t, ranges) of documents (d, t, text), each there once, in which some window repeats an earlier one.
 
     ranges lists (start, end), end exclusive, of first items of such windows.
     Earlier is a smaller (d, t) or, if ``within``, the same document and an earlier start.

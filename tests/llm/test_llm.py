@@ -83,6 +83,21 @@ def test_repeats_of_bytes_and_words(spark, monkeypatch, hot):
     assert bwt.remove_repeats(documents(spark, [])).count() == substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeated_rows_keep_their_own_text(spark, monkeypatch, hot):
+    """Equal rows that share a passage with another document lose that passage only."""
+    for module in (bwt, substrings):
+        monkeypatch.setattr(module, "repeated_windows", lambda *a, **b: anchors.repeated_windows(*a, **b, hot=hot))
+    shared = prose(90, 700)
+    twice = prose(60, 701) + " " + shared + " " + prose(60, 702)
+    rows = [(i, t, None, None, None) for i, t in [(1, prose(60, 703) + " " + shared + " " + prose(60, 704)), (5, twice), (5, twice), (5, twice), (None, shared[:400]), (None, shared[:400])]]
+    for brute, module in ((brute_bytes, bwt), (brute_words, substrings)):
+        want = {r[0]: r[1:] for r in brute(rows)}
+        got = module.remove_repeats(documents(spark, rows)).collect()
+        assert sorted(str(r[0]) for r in got) == sorted(str(r[0]) for r in rows)
+        assert all(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r[1:]) == want[r[0]] for r in got)
+
+
 def test_interleave_over_many_shards_equals_one():
     text = [prose(60, i % 5) + prose(5, i) for i in range(40)]
     contexts = [(i, np.frombuffer(t.encode(), np.uint8)) for i, t in enumerate(text)]

@@ -48,14 +48,32 @@ def identity(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def forest(n: np.ndarray, sketch: np.ndarray, threshold: float, slack: float) -> list[tuple[int, int]]:
+def chances(threshold: float, escape: float) -> tuple[int, int]:
+    """Runs, and coordinates in which sketches have to agree, so that a pair at the threshold is lost by either with less than ``escape`` in all.
+
+    The runs come first; what they leave of ``escape`` is the sketch's: its agreements
+    are binomial, and as many are asked for as keep the lower tail within that.
+    """
+    runs = 1
+    while (1 - threshold) ** runs >= escape:
+        runs += 1
+    left, agree, tail = escape - (1 - threshold) ** runs, 0, 0.0
+    while agree < COORDINATES:
+        tail += math.comb(COORDINATES, agree) * threshold**agree * (1 - threshold) ** (COORDINATES - agree)
+        if tail >= left:
+            break
+        agree += 1
+    return runs, agree
+
+
+def forest(n: np.ndarray, sketch: np.ndarray, threshold: float, agree: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest over sets whose sizes and sketches allow the threshold: each search step tests one set against all not reached."""
     rest, edges = np.arange(len(n)), []
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = (sketch[rest] == sketch[x]).sum(axis=1) >= (threshold - slack) * COORDINATES
+            near = (sketch[rest] == sketch[x]).sum(axis=1) >= agree
             near &= np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x]) - 1e-9
             edges += [(x, int(y)) for y in rest[near]]
             queue += rest[near].tolist()
@@ -82,7 +100,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096)
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-    escape: float = 1e-6, limit: int = 2048, block: int = 768, slack: float = 0.25, splits: int = 3, sets_too: bool = False,
+    escape: float = 1e-6, limit: int = 2048, block: int = 768, splits: int = 3, sets_too: bool = False,
 ) -> DataFrame:
     """docs with class_id (long), n_links (long) and n_copies (long).
 
@@ -98,14 +116,13 @@ def near_duplicates(
     (binary), the least set_id among those of class_id in its component.  Unlike
     class_id, first_set tells components of one id apart.  Both are null without words.
 
-    ``escape`` is the probability with which a pair at the threshold may be missed by
-    the runs; ``slack`` is how far below the threshold a sketch's estimate may lie for
-    the exact count to be made (0.25 is five standard deviations of 64 coordinates).
+    ``escape`` is the probability with which a pair at the threshold may be missed, by
+    the runs or by the sketches that choose pairs for the exact count (see chances).
     Buckets over ``limit`` are split up to ``splits`` times; what is left then, or
     is mostly alike, is compared in blocks, so that no pair is given up.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "n_links", "n_copies", *(["set_id", "first_set"] if sets_too else []))]
-    runs = max(1, math.ceil(math.log(escape) / math.log(1 - threshold))) if threshold < 1 else 1
+    runs, agree = chances(threshold, escape)
     base = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     outputs = T.StructType([T.StructField("__k", T.BinaryType()), T.StructField("__n", T.IntegerType()), T.StructField("__roots", T.ArrayType(T.LongType())), T.StructField("__sketch", T.BinaryType())])
 
@@ -168,7 +185,7 @@ def near_duplicates(
             rows = list(rows)
             if len(rows) > 1:
                 keys = [r[3] for r in rows]
-                found = forest(np.array([r[4] for r in rows]), np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1), threshold, slack)
+                found = forest(np.array([r[4] for r in rows]), np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1), threshold, agree)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found], pa.binary()), pa.array([keys[y] for _, y in found], pa.binary())], names=["u", "v"])
 
     edges = parts.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(link, "u binary, v binary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -287,6 +288,17 @@ def brute_links(rows):
     return sorted((str(rows[i][0]), name[i], len(links[i])) for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9, 0.99, 1.0])
+def test_runs_and_sketches_together_keep_escape(threshold):
+    runs, agree = jaccard.chances(threshold, 1e-6)
+    tail = sum(math.comb(64, i) * threshold**i * (1 - threshold) ** (64 - i) for i in range(agree))
+    assert (1 - threshold) ** runs + tail <= 1e-6
+    pair = np.zeros((2, 64), np.uint16)
+    pair[1, agree:] = 1
+    assert jaccard.forest(np.array([9, 9]), pair, threshold, agree) == [(0, 1)]
+    assert threshold != 0.8 or (runs, agree) == (9, 34)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(spark, small):
     """small forces splits, groups of blocks and blocks of a few sets."""

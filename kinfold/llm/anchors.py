@@ -4,15 +4,18 @@ A window is a run of W items.  Each window owns one anchor: the run of A items i
 it with the smallest hash, the leftmost among equals.  Equal windows have equal
 anchors, so that windows need comparing only under the same anchor.  Windows next
 to each other with the same anchor form a context, and each window is in one.
+Anchors and 128-bit content hashes only say which contexts are worth comparing;
+what repeats is found by the operator's own structure, in batches of bounded size.
 
 1. Anchors that occur once are dropped (counts are summed before they are shuffled).
-2. Contexts with equal content form a class.  A later member of a class repeats
-   its first one throughout, and needs no look at its content.
-3. Under anchors with several classes, the first members are resolved window by
-   window by the operator's own structure, in batches of bounded size.
-4. An anchor with more than ``hot`` classes, as at the ends of a passage that very many
-   documents share, is resolved by 128-bit hashes of its windows instead, whose
-   minima are taken before the shuffle; no task then holds the anchor's classes.
+2. Contexts with equal content form a class.  Its first and its last member, joined
+   to runs with their neighbours of the same two documents, go through the structure
+   (twins); what it marks in the last one holds for all members but the first.
+3. Under anchors with several classes, the first members of all go through the
+   structure together.
+4. An anchor with more than ``hot`` contexts of several classes, as at the ends of a
+   passage that very many documents share, is split into its windows: those form
+   classes of their own, whose twins decide them as in step 2.  No task holds such an anchor.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BASE, checkpoint_dir, mix
+from kinfold.llm.common import BASE, checkpoint_dir, mix, slices
 
-INVERSE = pow(BASE, -1, 1 << 64)
+#: A second odd base, for hashes that are independent of the first ones.
+OTHER = 0xD1342543DE82EF95
+_INVERSES = {b: pow(b, -1, 1 << 64) for b in (BASE, OTHER)}
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -43,16 +49,16 @@ def powers(base: int, n: int) -> np.ndarray:
 class Hashes:
     """Polynomial hashes of any runs of one sequence, from prefix sums."""
 
-    def __init__(self, x: np.ndarray):
-        self.sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(x * powers(BASE, len(x)), out=self.sums[1:])
+    def __init__(self, x: np.ndarray, base: int = BASE):
+        self.sums, self.inverse = np.zeros(len(x) + 1, np.uint64), _INVERSES[base]
+        np.cumsum(x * powers(base, len(x)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * powers(INVERSE, len(self.sums))[start])
+        return mix((self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start])
 
 
-def contexts(x: np.ndarray, window: int, anchor: int, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
-    """Of each context: the anchor's hash, the content's hash, first window, number of windows."""
+def contexts(x: np.ndarray, window: int, anchor: int, both: bool = True, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
+    """Of each context: the anchor's hash, two hashes of the content (the second only if ``both``), first window, number of windows."""
     none = np.empty(0, np.uint64)
     parts = []
     for at in range(0, max(1, len(x) - window + 1), piece):
@@ -73,9 +79,11 @@ def contexts(x: np.ndarray, window: int, anchor: int, piece: int = 1 << 23) -> t
         lo = np.flatnonzero(np.diff(where, prepend=-1))
         count = np.diff(np.append(lo, n))
         q = where[lo]
-        content = mix(hashes.of(lo, lo + count + window - 1) + count.astype(np.uint64) * np.uint64(BASE) + (q - lo).astype(np.uint64))
-        parts.append((h[q], content, lo + at, count))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.int64), none.astype(np.int64))
+        shape = count.astype(np.uint64) * np.uint64(BASE) + (q - lo).astype(np.uint64)
+        content = mix(hashes.of(lo, lo + count + window - 1) + shape)
+        other = mix(Hashes(part, OTHER).of(lo, lo + count + window - 1) + shape) if both else content
+        parts.append((h[q], content, other, lo + at, count))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(np.int64), none.astype(np.int64))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -100,9 +108,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     return rows, written(rows.dropDuplicates(["d", "t"])) if repeated else rows
 
 
+#: What an extracted row holds: kind 0, a context under its anchor ka; kind 1, a window with hashes kb and kc of the hot anchor ka;
+#: kind 2, a run for the twins whose first member is in the document (ka, kb), of last members if kc is 1, with the classes of its contexts.
+EXTRACTED = "d long, t long, kind int, ka long, kb long, kc long, lo int, n int, body binary, classes array<struct<a:long,c:long,e:long,lo:int,n:int,flo:int>>"
+
+
 def repeated_windows(
-    docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list], list], window: int, anchor: int,
-    within: bool, hot: int = 4096, batch_bytes: int = 1 << 22, body: Callable[[str], np.ndarray] | None = None,
+    docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list, list], list], window: int, anchor: int,
+    within: bool, hot: int = 512, batch_bytes: int = 1 << 22, body: Callable[[str], np.ndarray] | None = None,
 ) -> DataFrame:
     """(d, t, ranges) of documents (d, t, text), each there once, in which some window repeats an earlier one.
 
@@ -110,113 +123,190 @@ def repeated_windows(
     Earlier is a smaller (d, t) or, if ``within``, the same document and an earlier start.
     items() gives a function from a text to its sequence of 64-bit items.  resolve
     takes contexts (document number, item array) in the order of documents and starts,
-    and returns for each a boolean array: which of its windows repeat an earlier one.
+    and whether each is asked about (1), only looked up (0) or both (2), and returns for
+    each a boolean array: which of its windows repeat an earlier one.
     body, if given, takes a text to an array of smaller items that resolve reads instead.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_items = items()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                found = [contexts(to_items(x), window, anchor) for x in part.column(2).to_pylist()]
-                n = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
-                a, c, start, count = (np.concatenate(v) for v in zip(*found, strict=True))
-                take = pa.array(np.repeat(np.arange(len(found)), n))
+    def scan(both: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            to_items = items()
+            for part in slices(batches, 500):
+                found = [contexts(to_items(x), window, anchor, both) for x in part.column(part.num_columns - 1).to_pylist()]
+                a, c, e, start, count = (np.concatenate(v) for v in zip(*found, strict=True))
+                hashes = [pa.array(x.view(np.int64)) for x in (a, c, e)]
+                if not both:
+                    yield pa.RecordBatch.from_arrays(hashes[:2], names=["a", "c"])
+                    continue
+                take = pa.array(np.repeat(np.arange(len(found)), np.fromiter((len(f[0]) for f in found), np.int64, len(found))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["d", "t", "a", "c", "lo", "n"],
+                    [part.column(0).take(take), part.column(1).take(take), *hashes, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["d", "t", "a", "c", "e", "lo", "n"],
                 )
 
-    rows = docs.select("d", "t", "text").mapInArrow(scan, "d long, t long, a long, c long, lo int, n int")
-    counts = rows.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        return run
+
+    seen = docs.select("text").mapInArrow(scan(False), "a long, c long")
+    counts = seen.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 1")
     # Written first, so that the join has shuffles of its own on both sides, which Spark can split at a hot anchor.
-    shared = written(counts.where("m > 1").select("a", (F.col("c0") != F.col("c1")).alias("many")))
+    many = F.col("c0") != F.col("c1")
+    shared = written(counts.select("a", F.when(many & (F.col("m") > hot), 1).when(many, 0).alias("kind")))
+    rows = docs.select("d", "t", "text").mapInArrow(scan(True), "d long, t long, a long, c long, e long, lo int, n int")
     rows = written(rows.join(shared, "a"))
-    first = F.min(F.struct("d", "t", "lo")).alias("f")
-    classes = written(rows.groupBy("a", "c").agg(first, F.count("*").alias("m")).where("m > 1").drop("m"))
-    rows = rows.join(classes, ["a", "c"], "left")
-    same = (F.col("d") == F.col("f.d")) & (F.col("t") == F.col("f.t"))
-    leads = F.col("f").isNull() | (same if not within else same & (F.col("lo") == F.col("f.lo")))
-    rows = written(rows.withColumn("leads", leads).drop("f"))
-    full = rows.where("NOT leads").select("d", "t", F.col("lo").alias("start"), (F.col("lo") + F.col("n")).alias("end"))
-    open_ = rows.where("leads AND many")
-    crowd = open_.groupBy("a").count().where(F.col("count") > hot).select("a", F.lit(True).alias("hot"))
-    open_ = open_.join(crowd, "a", "left").select("d", "t", F.struct("a", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
-    asked = open_.groupBy("d", "t").agg(F.collect_list("x").alias("xs"))
+    classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n"), F.any_value("kind").alias("kind")))
+    alone = F.lit(None).cast("long")
+    first = classes.where("kind IS NOT NULL").select("f.d", "f.t", _wanted(F.col("kind"), F.col("a"), alone, alone, F.col("f.lo"), F.col("n")))
+    got = _extract(docs, first.union(_twins(classes, within)), items, window, body)
+    settled = written(_settle(got.where("kind = 2"), resolve, window, batch_bytes, body))
+    open_ = _settle(got.where("kind = 0"), resolve, window, batch_bytes, body).select("d", "t", F.col("lo").alias("start"), F.col("n").alias("end"))
+    marks = _spread(rows, settled, ["a", "c", "e"], within).union(open_)
+    windows = got.where("kind = 1").select("d", "t", F.col("ka").alias("a"), F.col("kb").alias("c"), F.col("kc").alias("e"), "lo")
+    if not windows.isEmpty():
+        classes = _classes(windows, ["a", "c", "e"], F.lit(1).alias("n"))
+        found = _extract(docs, _twins(classes, within), items, window, body)
+        settled = written(_settle(found, resolve, window, batch_bytes, body))
+        marks = marks.union(_spread(windows, settled, ["a", "c", "e"], within))
+    return marks.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+
+def _classes(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Of each content the first and the last (d, t, lo)."""
+    place = F.struct("d", "t", "lo")
+    return rows.groupBy(*keys).agg(F.min(place).alias("f"), F.max(place).alias("l"), *more)
+
+
+def _wanted(kind: Column, ka: Column, kb: Column, kc: Column, lo: Column, n: Column, a=None, c=None, e=None, flo=None) -> Column:
+    none, small = F.lit(None).cast("long"), F.lit(None).cast("int")
+    parts = [kind.cast("int").alias("kind"), ka.alias("ka"), kb.alias("kb"), kc.alias("kc"), lo.alias("lo"), n.cast("int").alias("n")]
+    rest = [(none if v is None else v).alias(k) for k, v in (("a", a), ("c", c), ("e", e))]
+    return F.struct(*parts, *rest, (small if flo is None else flo).alias("flo")).alias("x")
+
+
+def _twins(classes: DataFrame, within: bool) -> DataFrame:
+    """(d, t, x): the first and the last member of classes whose last one may repeat the first."""
+    apart = (F.col("f.d") != F.col("l.d")) | (F.col("f.t") != F.col("l.t"))
+    if within:
+        apart = apart | (F.col("f.lo") != F.col("l.lo"))
+    two, kd, kt = F.lit(2), F.col("f.d"), F.col("f.t")
+    first = F.struct(kd.alias("d"), kt.alias("t"), _wanted(two, kd, kt, F.lit(0).cast("long"), F.col("f.lo"), F.col("n")))
+    last = _wanted(two, kd, kt, F.lit(1).cast("long"), F.col("l.lo"), F.col("n"), F.col("a"), F.col("c"), F.col("e"), F.col("f.lo"))
+    last = F.struct(F.col("l.d").alias("d"), F.col("l.t").alias("t"), last)
+    return classes.where(apart).select(F.explode(F.array(first, last)).alias("y")).select("y.d", "y.t", "y.x")
+
+
+def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, body: Callable | None) -> DataFrame:
+    """The content of what is wanted (d, t, x), cut from the documents: rows EXTRACTED."""
+    asked = wanted.groupBy("d", "t").agg(F.collect_list("x").alias("xs"))
     texts = docs.join(asked.hint("shuffle_hash"), ["d", "t"])
+    types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    member = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("flo", pa.int32())])
+    names = ["d", "t", "kind", "ka", "kb", "kc", "lo", "n", "body", "classes"]
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_items = items()
-        for batch in batches:
-            for row in range(batch.num_rows):
-                d, t, text, xs = (batch.column(i)[row].as_py() for i in range(4))
-                x = to_items(text)
-                plain = [r for r in xs if not r["hot"]]
+        for part in slices(batches, 50):
+            xs = part.column(3)
+            flat = xs.flatten()
+            field = {f.name: flat.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+            ends = np.cumsum(pc.list_value_length(xs).to_numpy())
+            out: list[list] = [[] for _ in range(8)]
+            bodies: list[bytes | None] = []
+            member_of, sizes = [], []
+            for row, end in enumerate(ends.tolist()):
+                d, t, text = (part.column(i)[row].as_py() for i in range(3))
+                at = np.arange(end - len(xs[row]), end)
+                x = to_items(text) if body is None or (field["kind"][at] == 1).any() else None
                 raw = x if body is None else body(text)
-                kind, a, b, lo, n, bodies = [], [], [], [], [], []
-                for r in plain:
-                    kind.append(0), a.append(r["a"]), b.append(0), lo.append(r["lo"]), n.append(r["n"])
-                    bodies.append(raw[r["lo"] : r["lo"] + r["n"] + window - 1].tobytes())
-                if len(plain) < len(xs):
-                    at = np.unique(np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in xs if r["hot"]]))
-                    h1, h2 = Hashes(x).of(at, at + window), Hashes(mix(x)).of(at, at + window)
-                    kind += [1] * len(at)
-                    a += h1.view(np.int64).tolist()
-                    b += h2.view(np.int64).tolist()
-                    lo += at.tolist()
-                    n += [1] * len(at)
-                    bodies += [None] * len(at)
-                k = len(kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * k, pa.int64()), pa.array([t] * k, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(bodies, pa.binary())],
-                    names=["d", "t", "kind", "a", "b", "lo", "n", "body"],
-                )
-
-    got = written(texts.select("d", "t", "text", "xs").mapInArrow(extract, "d long, t long, kind int, a long, b long, lo int, n int, body binary"))
+                hot = at[field["kind"][at] == 1]
+                if len(hot):
+                    lo = np.concatenate([np.arange(s, s + n) for s, n in zip(field["lo"][hot], field["n"][hot], strict=True)])
+                    k = len(lo)
+                    hashes = [Hashes(x, b).of(lo, lo + window).view(np.int64) for b in (BASE, OTHER)]
+                    for column, v in zip(out, ([d] * k, [t] * k, [1] * k, np.repeat(field["ka"][hot], field["n"][hot]), *hashes, lo, [1] * k), strict=True):
+                        column.append(np.asarray(v, np.int64))
+                    bodies += [None] * k
+                    sizes.append(np.zeros(k, np.int64))
+                at = at[field["kind"][at] != 1]
+                at = at[np.lexsort((field["lo"][at], field["kc"][at], field["kb"][at], field["ka"][at], field["kind"][at]))]
+                lo, n = field["lo"][at].astype(np.int64), field["n"][at].astype(np.int64)
+                new = np.ones(len(at), bool)
+                new[1:] = (field["kind"][at[1:]] != 2) | (lo[1:] != lo[:-1] + n[:-1])
+                for k in ("kind", "ka", "kb", "kc"):
+                    new[1:] |= field[k][at[1:]] != field[k][at[:-1]]
+                heads = np.flatnonzero(new)
+                run_lo, size = lo[heads], np.diff(np.append(heads, len(at)))
+                run_n = np.add.reduceat(n, heads) if len(heads) else n
+                bodies += [raw[s : s + m + window - 1].tobytes() for s, m in zip(run_lo.tolist(), run_n.tolist(), strict=True)]
+                k, keys = len(heads), at[heads]
+                for column, v in zip(out, ([d] * k, [t] * k, *(field[f][keys] for f in ("kind", "ka", "kb", "kc")), run_lo, run_n), strict=True):
+                    column.append(np.asarray(v, np.int64))
+                late = (field["kind"][at] == 2) & (field["kc"][at] == 1)
+                member_of.append(at[late])
+                sizes.append(np.where((field["kind"][keys] == 2) & (field["kc"][keys] == 1), size, 0))
+            members = pa.array(np.concatenate(member_of)) if member_of else pa.array([], pa.int64())
+            structs = pa.StructArray.from_arrays([pa.array(field[f.name]).take(members).cast(f.type) for f in member], names=[f.name for f in member])
+            offsets = np.concatenate([[0], *map(np.asarray, sizes)]).astype(np.int64).cumsum()
+            columns = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), structs)], names=names)
+
+    return written(texts.select("d", "t", "text", "xs").mapInArrow(run, EXTRACTED))
+
+
+def _settle(rows: DataFrame, resolve: Callable, window: int, batch_bytes: int, body: Callable | None) -> DataFrame:
+    """What the structure marks, as ranges of first items lo to n: of contexts (kind 0) in their document, of twins (kind 2) from each class's first window on.
+
+    Rows come in the order of their keys; a batch ends where a key does.
+    """
+    kind = np.uint64 if body is None else np.uint8
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts come in the order of their anchors; a batch ends where an anchor does."""
-        kind = np.uint64 if body is None else np.uint8
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for d, t, a, lo, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size >= batch_bytes and a != last:
+            for d, t, k, ka, kb, kc, lo, raw, classes in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if size >= batch_bytes and (k, ka, kb) != last:
                     yield settled(held)
                     held, size = [], 0
-                held.append((d, t, lo, np.frombuffer(raw, kind)))
+                held.append((d, t, lo, k, kc, ka, kb, np.frombuffer(raw, kind), classes))
                 size += len(raw)
-                last = a
+                last = (k, ka, kb)
         if held:
             yield settled(held)
 
     def settled(held: list[tuple]) -> pa.RecordBatch:
         held.sort(key=lambda r: r[:3])
         number, before = -1, None
-        numbered = []
-        for d, t, _, x in held:
+        numbered, roles = [], []
+        for d, t, _, k, kc, _, _, x, _ in held:
             number += (d, t) != before
             before = (d, t)
             numbered.append((number, x))
-        out: list[list] = [[], [], [], []]
-        for (d, t, lo, _), marks in zip(held, resolve(numbered), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8)))
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                for column, v in zip(out, (d, t, lo + s, lo + e), strict=True):
-                    column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d", "t", "start", "end"])
-
-    plain = got.where("kind = 0").select("d", "t", "a", "lo", "body")
-    resolved = plain.repartition("a").sortWithinPartitions("a").mapInArrow(settle, "d long, t long, start int, end int")
-    hots = got.where("kind = 1").select("d", "t", "a", "b", "lo")
-    firsts = hots.groupBy("a", "b").agg(first)
-    late = (F.col("d") != F.col("f.d")) | (F.col("t") != F.col("f.t"))
-    late = late | (F.col("lo") != F.col("f.lo")) if within else late
-    crowded = hots.join(firsts, ["a", "b"]).where(late).select("d", "t", F.col("lo").alias("start"), (F.col("lo") + 1).alias("end"))
-    marks = full.union(resolved).union(crowded)
-    return marks.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+            roles.append(2 if k == 0 else kc)
+        out: list[list] = [[] for _ in range(10)]
+        for (d, t, lo, k, kc, ka, kb, _, classes), marks in zip(held, resolve(numbered, roles), strict=True):
+            if k == 2 and not kc:
+                continue
+            for x in classes if k == 2 else [None]:
+                part = marks if x is None else marks[x["lo"] - lo : x["lo"] - lo + x["n"]]
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    values = (d, t, lo + s, lo + e, None, None, None, None, None, None) if x is None else (None, None, s, e, x["a"], x["c"], x["e"], ka, kb, x["flo"])
+                    for column, v in zip(out, values, strict=True):
+                        column.append(v)
+        kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d", "t", "lo", "n", "a", "c", "e", "fd", "ft", "flo"])
+
+    keys = ("kind", "ka", "kb")
+    plain = rows.repartition(*keys).sortWithinPartitions(*keys).select("d", "t", "kind", "ka", "kb", "kc", "lo", "body", "classes")
+    return plain.mapInArrow(run, "d long, t long, lo int, n int, a long, c long, e long, fd long, ft long, flo int")
+
+
+def _spread(rows: DataFrame, settled: DataFrame, keys: list[str], within: bool) -> DataFrame:
+    """(d, t, start, end): the ranges found for the classes' last members, in all members but the first."""
+    found = settled.select(*keys, F.col("lo").alias("s"), F.col("n").alias("e_"), "fd", "ft", "flo")
+    late = (F.col("d") != F.col("fd")) | (F.col("t") != F.col("ft"))
+    late = late | (F.col("lo") != F.col("flo")) if within else late
+    return rows.join(found, keys).where(late).select("d", "t", (F.col("lo") + F.col("s")).alias("start"), (F.col("lo") + F.col("e_")).alias("end"))
 
 
 def covered(ranges: list[dict] | None, n: int, window: int) -> np.ndarray:

@@ -4,9 +4,10 @@ Each shard of texts has its own suffix order and transform.  Shards are merged
 by refining their interleave: before step h all suffixes stand in the order of
 their first h bytes, equals in the order of shards; reading each one's preceding
 byte from its shard's transform and sorting stably by it gives the order by h + 1 bytes.
-Only intervals that still hold several suffixes are refined.  An interval that is
-left after W steps has a common prefix of W bytes: a repeat.  No suffixes of
-different shards are ever compared or sorted anew.
+Only intervals that still hold several suffixes are refined.  The last step at which
+a suffix shares its interval is the length of its longest common prefix with any
+other, and an interval that is left after W steps is a repeat of W bytes.  No suffixes
+of different shards are ever compared or sorted anew.
 """
 
 from __future__ import annotations
@@ -59,10 +60,12 @@ class Shard:
         self.back = place[self.order - 1]
 
 
-def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (numbered through all shards, in shard order) whose first ``depth`` bytes repeat, and their interval numbers.
+def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes (numbered through all shards, in shard order) whose first ``depth`` bytes repeat, their interval numbers, and common prefixes.
 
     Only suffixes with ``depth`` bytes before them start: what they reach has that many bytes after it.
+    The common prefixes are the most bytes, ``depth`` at most, that each suffix shares with any other,
+    counting strings that end ``depth`` bytes or more after the start of their text.
     """
     offset = np.cumsum([0] + [len(s.order) for s in shards])
     before = np.concatenate([s.before for s in shards])
@@ -70,7 +73,8 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     inside = np.concatenate([s.inside for s in shards])
     at = np.flatnonzero(inside >= depth).astype(np.int32)  # the interleave before the first step: shard after shard
     block = np.zeros(len(at), np.int32)
-    for _ in range(depth):
+    common = np.zeros(len(before), np.uint8 if depth < 256 else np.int32)
+    for step in range(1, depth + 1):
         if not len(at):
             break
         byte = before[at]
@@ -81,12 +85,15 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
         several = np.flatnonzero(~(new[:-1] & new[1:]))
         block = np.cumsum(new[:-1], dtype=np.int32)[several]
         at = at[several]
+        common[at] = step
     text_at = np.concatenate([s.order + o for s, o in zip(shards, offset, strict=False)])
-    return text_at[at], block
+    prefixes = np.empty_like(common)
+    prefixes[text_at] = common
+    return text_at[at], block, prefixes
 
 
-def resolve(contexts: list[tuple[int, np.ndarray]], shard_bytes: int = 1 << 16) -> list[np.ndarray]:
-    """Which windows of each context occur earlier, in the order in which the contexts come.
+def resolve(contexts: list[tuple[int, np.ndarray]], roles: list[int] | None = None, shard_bytes: int = 1 << 16) -> list[np.ndarray]:
+    """Which windows of each context occur earlier, in the order in which the contexts come; all contexts are looked at, whatever their roles.
 
     A byte more stands at each context's end: the steps go from a suffix to the longer one
     before it, so that a suffix of W bytes is reached after W steps from the empty one.
@@ -103,12 +110,13 @@ def resolve(contexts: list[tuple[int, np.ndarray]], shard_bytes: int = 1 << 16)
         if e - cuts[-1] >= shard_bytes or e == len(text):
             cuts.append(e)
     shards = [Shard(text[a:b], room[a:b], inside[a:b], WINDOW) for a, b in zip(cuts, cuts[1:], strict=False)]
-    found, block = repeated_intervals(shards, WINDOW) if shards else (np.empty(0, np.int64), np.empty(0, np.int64))
     marks = np.zeros(len(text), bool)
-    if len(found):
+    if shards:
+        found, block, prefixes = repeated_intervals(shards, WINDOW)
+        marks[prefixes >= WINDOW] = True  # of an interval, all but its first suffix stay marked
         order = np.lexsort((found, block))
         found, block = found[order], block[order]
-        marks[found[np.diff(block, prepend=-1) == 0]] = True
+        marks[found[np.diff(block, prepend=-1) != 0]] = False
     return [marks[e - n : e - WINDOW] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most ``rows`` rows and, but for single longer rows, about ``most`` bytes of text."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.binary_length(column).fill_null(0).to_numpy()
+        total, lo = np.cumsum(size), 0
+        while lo < batch.num_rows:
+            before = total[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(total, before + most, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def arrow_columns(
     df: DataFrame,
     inputs: list[str],
@@ -62,7 +78,7 @@ def arrow_columns(
     keep: list[str] | None = None,
     rows: int = 2000,
 ) -> DataFrame:
-    """df's columns plus those that make()(*input arrays) returns for each slice of at most ``rows`` rows.
+    """df's columns plus those that make()(*input arrays) returns for each slice of at most ``rows`` rows and about 4 MB of text.
 
     make is called once a task, so that caches and models live as long as the task does.
     """
@@ -76,15 +92,11 @@ def arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for batch in batches:
+        for part in slices(batches, rows):
             fn = fn or make()
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                arrays = fn(*[part.column(i) for i in where])
-                arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=t) for a, (_, t) in zip(arrays, out_types, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(n_kept)] + arrays, names=kept + [n for n, _ in out_types]
-                )
+            arrays = fn(*[part.column(i) for i in where])
+            arrays = [a if isinstance(a, pa.Array) else pa.array(a, type=t) for a, (_, t) in zip(arrays, out_types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_kept)] + arrays, names=kept + [n for n, _ in out_types])
 
     return wide.mapInArrow(run, schema)
 

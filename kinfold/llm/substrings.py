@@ -1,10 +1,10 @@
 """Substring dedup by suffix automata of reference shards.
 
-A reference shard is a bounded batch of contexts under common anchors; its
-automaton keeps with each state the first document that holds the state's
-strings.  Documents' contexts are streamed through it for matching statistics,
-and a window is removed whose match reaches the threshold in an earlier document.
-Shards go only to the tasks whose documents share their anchors.
+A reference shard is a bounded batch of contexts that share anchors, or the
+first document, with those looked up in it; its automaton keeps with each state the
+first document that holds the state's strings.  Contexts are streamed through it for
+matching statistics, and a window is removed whose match reaches the threshold in an
+earlier document.  Shards go only to the tasks whose documents share their anchors.
 """
 
 from __future__ import annotations
@@ -85,14 +85,17 @@ class SuffixAutomaton:
         return out
 
 
-def resolve(contexts: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
-    """Which windows of each context an earlier document's context holds."""
+def resolve(contexts: list[tuple[int, np.ndarray]], roles: list[int] | None = None) -> list[np.ndarray]:
+    """Which windows of each context an earlier document's context holds; roles: 0 for the shard's contexts, 1 for those streamed through it, 2 for both."""
+    roles = roles or [2] * len(contexts)
     automaton = SuffixAutomaton()
     names: dict[int, int] = {}
     sequences = [[names.setdefault(v, len(names)) for v in x.tolist()] for _, x in contexts]
-    for (doc, _), s in zip(contexts, sequences, strict=True):
-        automaton.add(s, doc)
-    return [np.array(automaton.repeats(s, doc, WINDOW), bool) for (doc, _), s in zip(contexts, sequences, strict=True)]
+    for (doc, _), s, role in zip(contexts, sequences, roles, strict=True):
+        if role != 1:
+            automaton.add(s, doc)
+    none = np.zeros(0, bool)
+    return [np.array(automaton.repeats(s, doc, WINDOW), bool) if role else none for (doc, _), s, role in zip(contexts, sequences, roles, strict=True)]
 
 
 def word_items():

@@ -68,9 +68,9 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [512, 1])
 def test_repeats_of_bytes_and_words(spark, monkeypatch, hot):
-    """hot=1 resolves all anchors of several classes by hashes of their windows."""
+    """hot=1 splits all anchors of several classes into their windows."""
     for module in (bwt, substrings):
         monkeypatch.setattr(module, "repeated_windows", lambda *a, **b: anchors.repeated_windows(*a, **b, hot=hot))
     rows = odd_rows()
@@ -84,7 +84,7 @@ def test_repeats_of_bytes_and_words(spark, monkeypatch, hot):
     assert bwt.remove_repeats(documents(spark, [])).count() == substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [512, 1])
 def test_repeated_rows_keep_their_own_text(spark, monkeypatch, hot):
     """Equal rows that share a passage with another document lose that passage only."""
     for module in (bwt, substrings):
@@ -99,10 +99,40 @@ def test_repeated_rows_keep_their_own_text(spark, monkeypatch, hot):
         assert all(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r[1:]) == want[r[0]] for r in got)
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_all_repeats_come_from_the_structures(spark, monkeypatch, hot):
+    """With the merge or the automaton blind nothing is removed, however often a text comes."""
+    rows = odd_rows()
+    for module in (bwt, substrings):
+        monkeypatch.setattr(module, "repeated_windows", lambda *a, **b: anchors.repeated_windows(*a, **b, hot=hot))
+        monkeypatch.setattr(module, "resolve", lambda contexts, roles=None, w=module.WINDOW: [np.zeros(max(0, len(x) - w + 1), bool) for _, x in contexts])
+        assert module.remove_repeats(documents(spark, rows)).where("n_removed > 0").isEmpty()
+
+
+def test_common_prefixes_of_the_interleave():
+    texts = [prose(40, 1), prose(30, 2) + prose(40, 1)[:77], prose(25, 3)]
+    contexts = [np.frombuffer((t + "\0").encode(), np.uint8) for t in texts]
+    whole = np.concatenate(contexts)
+    inside = np.concatenate([np.arange(len(x)) for x in contexts])
+    room = np.concatenate([len(x) - np.arange(len(x)) for x in contexts])
+    cuts = np.cumsum([0, *map(len, contexts)])
+    shards = [bwt.Shard(whole[a:b], room[a:b], inside[a:b], 60) for a, b in itertools.pairwise(cuts.tolist())]
+    _, _, got = bwt.repeated_intervals(shards, 60)
+    raw = [bytes(x) for x in contexts]
+    ends = {}  # of each string: how often it ends at or after the 60th byte of a text
+    for x in raw:
+        for e in range(60, len(x)):
+            for n in range(1, 61):
+                ends[x[e - n : e]] = ends.get(x[e - n : e], 0) + 1
+    for a, x in zip(cuts.tolist(), raw, strict=False):
+        for p in range(len(x) - 61):
+            assert got[a + p] == max((n for n in range(1, 61) if p + n >= 60 and ends[x[p : p + n]] > 1), default=0)
+
+
 def test_interleave_over_many_shards_equals_one():
     text = [prose(60, i % 5) + prose(5, i) for i in range(40)]
     contexts = [(i, np.frombuffer(t.encode(), np.uint8)) for i, t in enumerate(text)]
-    for a, b in zip(bwt.resolve(contexts, 200), bwt.resolve(contexts, 1 << 20), strict=True):
+    for a, b in zip(bwt.resolve(contexts, shard_bytes=200), bwt.resolve(contexts, shard_bytes=1 << 20), strict=True):
         assert (a == b).all()
 
 

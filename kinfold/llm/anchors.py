@@ -13,8 +13,8 @@ what repeats is found by the operator's own structure, in batches of bounded siz
    (twins); what it marks in the last one holds for all members but the first.
 3. Under anchors with several classes, the first members of all go through the
    structure together.
-4. An anchor with more than ``hot`` contexts of several classes, as at the ends of a
-   passage that very many documents share, is split into its windows: those form
+4. An anchor with more than ``hot`` classes, as at the ends of a passage that very many
+   documents share, is split into its windows: those form
    classes of their own, whose twins decide them as in step 2.  No task holds such an anchor.
 """
 
@@ -89,10 +89,19 @@ def contexts(x: np.ndarray, window: int, anchor: int, both: bool = True, piece:
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder, and read from there."""
     spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    path = f"{folder}/kinfold-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/kinfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kinfold_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing still to be computed reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.kinfold_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +124,7 @@ EXTRACTED = "d long, t long, kind int, ka long, kb long, kc long, lo int, n int,
 
 def repeated_windows(
     docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list, list], list], window: int, anchor: int,
-    within: bool, hot: int = 512, batch_bytes: int = 1 << 22, body: Callable[[str], np.ndarray] | None = None,
+    within: bool, hot: int = 512, batch_bytes: int = 1 << 20, body: Callable[[str], np.ndarray] | None = None, keep: bool = False,
 ) -> DataFrame:
     """(d, t, ranges) of documents (d, t, text), each there once, in which some window repeats an earlier one.
 
@@ -126,6 +135,7 @@ def repeated_windows(
     and whether each is asked about (1), only looked up (0) or both (2), and returns for
     each a boolean array: which of its windows repeat an earlier one.
     body, if given, takes a text to an array of smaller items that resolve reads instead.
+    ``keep`` writes all contexts rather than finding them twice: for dear items and few anchors.
     """
 
     def scan(both: bool):
@@ -136,7 +146,7 @@ def repeated_windows(
                 a, c, e, start, count = (np.concatenate(v) for v in zip(*found, strict=True))
                 hashes = [pa.array(x.view(np.int64)) for x in (a, c, e)]
                 if not both:
-                    yield pa.RecordBatch.from_arrays(hashes[:2], names=["a", "c"])
+                    yield pa.RecordBatch.from_arrays(hashes[:1], names=["a"])
                     continue
                 take = pa.array(np.repeat(np.arange(len(found)), np.fromiter((len(f[0]) for f in found), np.int64, len(found))))
                 yield pa.RecordBatch.from_arrays(
@@ -146,17 +156,19 @@ def repeated_windows(
 
         return run
 
-    seen = docs.select("text").mapInArrow(scan(False), "a long, c long")
-    counts = seen.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 1")
-    # Written first, so that the join has shuffles of its own on both sides, which Spark can split at a hot anchor.
-    many = F.col("c0") != F.col("c1")
-    shared = written(counts.select("a", F.when(many & (F.col("m") > hot), 1).when(many, 0).alias("kind")))
     rows = docs.select("d", "t", "text").mapInArrow(scan(True), "d long, t long, a long, c long, e long, lo int, n int")
-    rows = written(rows.join(shared, "a"))
-    classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n"), F.any_value("kind").alias("kind")))
+    all_rows = written(rows) if keep else None
+    anchors = all_rows if keep else docs.select("text").mapInArrow(scan(False), "a long")
+    # Tables are written before they are joined, so that both sides have shuffles of their own, which Spark can split at a hot anchor.
+    shared = written(anchors.groupBy("a").count().where("count > 1").select("a"))
+    rows = written((all_rows if keep else rows).join(shared, "a"))
+    discard(shared, *([all_rows] if keep else []))
+    classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n")))
+    crowds = written(classes.groupBy("a").count().where("count > 1").select("a", (F.col("count") > hot).cast("int").alias("kind")))
     alone = F.lit(None).cast("long")
-    first = classes.where("kind IS NOT NULL").select("f.d", "f.t", _wanted(F.col("kind"), F.col("a"), alone, alone, F.col("f.lo"), F.col("n")))
+    first = classes.join(crowds, "a").select("f.d", "f.t", _wanted(F.col("kind"), F.col("a"), alone, alone, F.col("f.lo"), F.col("n")))
     got = _extract(docs, first.union(_twins(classes, within)), items, window, body)
+    discard(classes, crowds)
     settled = written(_settle(got.where("kind = 2"), resolve, window, batch_bytes, body))
     open_ = _settle(got.where("kind = 0"), resolve, window, batch_bytes, body).select("d", "t", F.col("lo").alias("start"), F.col("n").alias("end"))
     marks = _spread(rows, settled, ["a", "c", "e"], within).union(open_)
@@ -262,12 +274,16 @@ def _settle(rows: DataFrame, resolve: Callable, window: int, batch_bytes: int, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
-        for batch in batches:
-            for d, t, k, ka, kb, kc, lo, raw, classes in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+        for part in slices(batches, 2000):
+            flat = part.column(8).flatten()
+            classes = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+            ends = np.cumsum(pc.list_value_length(part.column(8)).to_numpy()).tolist()
+            for d, t, k, ka, kb, kc, lo, raw, end, before in zip(*(part.column(i).to_pylist() for i in range(8)), ends, [0, *ends[:-1]], strict=True):
                 if size >= batch_bytes and (k, ka, kb) != last:
                     yield settled(held)
                     held, size = [], 0
-                held.append((d, t, lo, k, kc, ka, kb, np.frombuffer(raw, kind), classes))
+                mine = {f: v[before:end] for f, v in classes.items()} if end > before else None
+                held.append((d, t, lo, k, kc, ka, kb, np.frombuffer(raw, kind), mine))
                 size += len(raw)
                 last = (k, ka, kb)
         if held:
@@ -282,25 +298,39 @@ def _settle(rows: DataFrame, resolve: Callable, window: int, batch_bytes: int, b
             before = (d, t)
             numbered.append((number, x))
             roles.append(2 if k == 0 else kc)
-        out: list[list] = [[] for _ in range(10)]
-        for (d, t, lo, k, kc, ka, kb, _, classes), marks in zip(held, resolve(numbered, roles), strict=True):
-            if k == 2 and not kc:
-                continue
-            for x in classes if k == 2 else [None]:
-                part = marks if x is None else marks[x["lo"] - lo : x["lo"] - lo + x["n"]]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], part, [False]]).astype(np.int8)))
-                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    values = (d, t, lo + s, lo + e, None, None, None, None, None, None) if x is None else (None, None, s, e, x["a"], x["c"], x["e"], ka, kb, x["flo"])
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
+        plain: list[tuple] = []  # d, t, start, end
+        late: list[tuple] = []  # start and end from the class's first window on, a, c, e, fd, ft, flo, all arrays
+        for (d, t, lo, k, kc, ka, kb, _, mine), marks in zip(held, resolve(numbered, roles), strict=True):
+            if k == 0:
+                plain += [(d, t, lo + s, lo + e) for s, e in _runs(marks)]
+            elif kc:
+                begin, n = mine["lo"] - lo, mine["n"]
+                sums = np.concatenate([[0], np.cumsum(marks)])
+                got = sums[begin + n] - sums[begin]
+                spans = [(i, 0, n[i]) for i in np.flatnonzero(got == n)] if (got == n).any() else []
+                spans += [(i, s, e) for i in np.flatnonzero((got > 0) & (got < n)) for s, e in _runs(marks[begin[i] : begin[i] + n[i]])]
+                if spans:
+                    at, start, end = np.array(spans, np.int64).T
+                    late.append((start, end, *(mine[f][at] for f in ("a", "c", "e")), np.full(len(at), ka), np.full(len(at), kb), mine["flo"][at]))
+        columns = [np.array(c, np.int64) for c in zip(*plain, strict=True)] if plain else [np.empty(0, np.int64)] * 4
+        more = [np.concatenate(c) for c in zip(*late, strict=True)] if late else [np.empty(0, np.int64)] * 8
+        none = pa.nulls(len(more[0]), pa.int64())
+        joined = [pa.concat_arrays([pa.array(x, pa.int64()), y]) for x, y in zip(columns, (none, none, pa.array(more[0], pa.int64()), pa.array(more[1], pa.int64())), strict=True)]
+        joined += [pa.concat_arrays([pa.nulls(len(columns[0]), pa.int64()), pa.array(x, pa.int64())]) for x in more[2:]]
         kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d", "t", "lo", "n", "a", "c", "e", "fd", "ft", "flo"])
+        return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(joined, kinds, strict=True)], names=["d", "t", "lo", "n", "a", "c", "e", "fd", "ft", "flo"])
 
     keys = ("kind", "ka", "kb")
     plain = rows.repartition(*keys).sortWithinPartitions(*keys).select("d", "t", "kind", "ka", "kb", "kc", "lo", "body", "classes")
     return plain.mapInArrow(run, "d long, t long, lo int, n int, a long, c long, e long, fd long, ft long, flo int")
 
 
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of marks."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8))).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
 def _spread(rows: DataFrame, settled: DataFrame, keys: list[str], within: bool) -> DataFrame:
     """(d, t, start, end): the ranges found for the classes' last members, in all members but the first."""
     found = settled.select(*keys, F.col("lo").alias("s"), F.col("n").alias("e_"), "fd", "ft", "flo")

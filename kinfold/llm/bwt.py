@@ -66,30 +66,52 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     Only suffixes with ``depth`` bytes before them start: what they reach has that many bytes after it.
     The common prefixes are the most bytes, ``depth`` at most, that each suffix shares with any other,
     counting strings that end ``depth`` bytes or more after the start of their text.
+    An interval of two stands in its order already: its suffixes only have to agree in the byte before.
     """
     offset = np.cumsum([0] + [len(s.order) for s in shards])
     before = np.concatenate([s.before for s in shards])
     back = np.concatenate([s.back + np.int32(o) for s, o in zip(shards, offset, strict=False)])
     inside = np.concatenate([s.inside for s in shards])
+    text_at = np.concatenate([s.order + o for s, o in zip(shards, offset, strict=False)])
     at = np.flatnonzero(inside >= depth).astype(np.int32)  # the interleave before the first step: shard after shard
     block = np.zeros(len(at), np.int32)
-    common = np.zeros(len(before), np.uint8 if depth < 256 else np.int32)
+    pairs = np.empty((0, 2), np.int32)
+    left: list[tuple[np.ndarray, int]] = []  # suffixes that share their interval no more after the next step, and their steps
+
+    def step_pairs(pairs: np.ndarray, step: int) -> np.ndarray:
+        same = before[pairs[:, 0]] == before[pairs[:, 1]]
+        if not same.all():
+            left.append((pairs[~same].ravel(), step - 1))
+            pairs = pairs[same]
+        return back[pairs]
+
     for step in range(1, depth + 1):
+        pairs = step_pairs(pairs, step)
         if not len(at):
-            break
+            continue
         byte = before[at]
         order = np.argsort(byte, kind="stable")
-        at, block, byte = back[at[order]], block[order], byte[order]
+        was, block, byte = at[order], block[order], byte[order]
         new = np.ones(len(at) + 1, bool)
         new[1:-1] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
-        several = np.flatnonzero(~(new[:-1] & new[1:]))
-        block = np.cumsum(new[:-1], dtype=np.int32)[several]
-        at = at[several]
-        common[at] = step
-    text_at = np.concatenate([s.order + o for s, o in zip(shards, offset, strict=False)])
-    prefixes = np.empty_like(common)
-    prefixes[text_at] = common
-    return text_at[at], block, prefixes
+        single = new[:-1] & new[1:]
+        left.append((was[single], step - 1))
+        block = np.cumsum(new[:-1], dtype=np.int32)
+        at = back[was]
+        if step % 4:
+            at, block = at[~single], block[~single]
+            continue
+        size = np.bincount(block)[block]
+        pairs = np.concatenate([pairs, at[size == 2].reshape(-1, 2)])
+        at, block = at[size > 2], block[size > 2]
+    found = np.concatenate([at, pairs.ravel()])
+    block = np.concatenate([block, np.repeat(np.arange(len(pairs)), 2) + (int(block.max()) + 1 if len(block) else 0)])
+    left.append((found, depth))
+    place = text_at[np.concatenate([x for x, _ in left])]
+    reach = np.zeros(len(before), np.int64)  # where the shared string ends that begins here
+    np.maximum.at(reach, place, place + np.repeat([h for _, h in left], [len(x) for x, _ in left]))
+    prefixes = np.maximum(np.maximum.accumulate(reach) - np.arange(len(reach)), 0)
+    return text_at[found], block, prefixes
 
 
 def resolve(contexts: list[tuple[int, np.ndarray]], roles: list[int] | None = None, shard_bytes: int = 1 << 16) -> list[np.ndarray]:

@@ -111,7 +111,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input.  Null and empty texts have no words.  A null id is smaller than all others.
     """
     base, once = keyed(docs, id_col, text_col)
-    found = repeated_windows(once, word_items, resolve, WINDOW, ANCHOR, within=False)
+    found = repeated_windows(once, word_items, resolve, WINDOW, ANCHOR, within=False, keep=True)
     whole = base.join(found.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "ranges")
     out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 

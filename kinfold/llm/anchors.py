@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BASE, checkpoint_dir, mix, slices
+from kinfold.llm.common import BASE, checkpoint_dir, mix, slices, text_bytes
 
 #: A second odd base, for hashes that are independent of the first ones.
 OTHER = 0xD1342543DE82EF95
 _INVERSES = {b: pow(b, -1, 1 << 64) for b in (BASE, OTHER)}
 _POWERS: dict[int, np.ndarray] = {}
+#: A 64-bit item for each byte.
+BYTE_ITEMS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -57,9 +59,12 @@ class Hashes:
         return mix((self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start])
 
 
-def contexts(x: np.ndarray, window: int, anchor: int, both: bool = True, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
-    """Of each context: the anchor's hash, two hashes of the content (the second only if ``both``), first window, number of windows."""
-    none = np.empty(0, np.uint64)
+def contexts(x: np.ndarray, starts: np.ndarray, window: int, anchor: int, both: bool = True, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
+    """Contexts of texts that lie one after the other in x, each from its start on (starts ends with len(x)).
+
+    Of each: its text, the anchor's hash, two hashes of the content (the second only if ``both``), its first window in the text, number of windows.
+    """
+    none = np.empty(0, np.int64)
     parts = []
     for at in range(0, max(1, len(x) - window + 1), piece):
         part = x[at : at + piece + window - 1]
@@ -76,21 +81,34 @@ def contexts(x: np.ndarray, window: int, anchor: int, both: bool = True, piece:
             size *= 2
         least = np.minimum(least[:n], least[span - size : span - size + n])
         where = (least & low).astype(np.int64)
-        lo = np.flatnonzero(np.diff(where, prepend=-1))
-        count = np.diff(np.append(lo, n))
-        q = where[lo]
+        text = np.searchsorted(starts, np.arange(at, at + n), side="right") - 1 if len(starts) > 2 else np.zeros(n, np.int64)
+        whole = np.arange(at, at + n) + window <= starts[text + 1]  # the window lies in one text
+        edge = whole != np.concatenate([[False], whole[:-1]])
+        edge[1:] |= whole[1:] & ((where[1:] != where[:-1]) | (text[1:] != text[:-1]))
+        edge = np.flatnonzero(edge)
+        count = np.diff(np.append(edge, n))
+        lo, count = edge[whole[edge]], count[whole[edge]]
+        q, text = where[lo], text[lo]
         shape = count.astype(np.uint64) * np.uint64(BASE) + (q - lo).astype(np.uint64)
         content = mix(hashes.of(lo, lo + count + window - 1) + shape)
         other = mix(Hashes(part, OTHER).of(lo, lo + count + window - 1) + shape) if both else content
-        parts.append((h[q], content, other, lo + at, count))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(np.int64), none.astype(np.int64))
+        parts.append((text, h[q], content, other, lo + at - starts[text], count))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, *[none.astype(np.uint64)] * 3, none, none)
+
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder, and read from there."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/kinfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")  # its shuffle files go when the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.kinfold_path = path
     return out
@@ -123,32 +141,30 @@ EXTRACTED = "d long, t long, kind int, ka long, kb long, kc long, lo int, n int,
 
 
 def repeated_windows(
-    docs: DataFrame, items: Callable[[], Callable[[str], np.ndarray]], resolve: Callable[[list, list], list], window: int, anchor: int,
-    within: bool, hot: int = 512, batch_bytes: int = 1 << 20, body: Callable[[str], np.ndarray] | None = None, keep: bool = False,
+    docs: DataFrame, items: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], resolve: Callable[[list, list], list], window: int, anchor: int,
+    within: bool, hot: int = 512, batch_bytes: int = 1 << 20, body: Callable[[str], np.ndarray] | None = None,
 ) -> DataFrame:
     """(d, t, ranges) of documents (d, t, text), each there once, in which some window repeats an earlier one.
 
     ranges lists (start, end), end exclusive, of first items of such windows.
     Earlier is a smaller (d, t) or, if ``within``, the same document and an earlier start.
-    items() gives a function from a text to its sequence of 64-bit items.  resolve
+    items takes the bytes of texts in one array and where each starts (and the last one
+    ends) to their 64-bit items in one array and where each text's items start.  resolve
     takes contexts (document number, item array) in the order of documents and starts,
     and whether each is asked about (1), only looked up (0) or both (2), and returns for
     each a boolean array: which of its windows repeat an earlier one.
     body, if given, takes a text to an array of smaller items that resolve reads instead.
-    ``keep`` writes all contexts rather than finding them twice: for dear items and few anchors.
     """
 
     def scan(both: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            to_items = items()
-            for part in slices(batches, 500):
-                found = [contexts(to_items(x), window, anchor, both) for x in part.column(part.num_columns - 1).to_pylist()]
-                a, c, e, start, count = (np.concatenate(v) for v in zip(*found, strict=True))
+            for part in slices(batches, 500, 1 << 18):
+                text, a, c, e, start, count = contexts(*items(*text_bytes(part.column(part.num_columns - 1))), window, anchor, both)
                 hashes = [pa.array(x.view(np.int64)) for x in (a, c, e)]
                 if not both:
                     yield pa.RecordBatch.from_arrays(hashes[:1], names=["a"])
                     continue
-                take = pa.array(np.repeat(np.arange(len(found)), np.fromiter((len(f[0]) for f in found), np.int64, len(found))))
+                take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), *hashes, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
                     names=["d", "t", "a", "c", "e", "lo", "n"],
@@ -157,12 +173,11 @@ def repeated_windows(
         return run
 
     rows = docs.select("d", "t", "text").mapInArrow(scan(True), "d long, t long, a long, c long, e long, lo int, n int")
-    all_rows = written(rows) if keep else None
-    anchors = all_rows if keep else docs.select("text").mapInArrow(scan(False), "a long")
+    anchors = docs.select("text").mapInArrow(scan(False), "a long")
     # Tables are written before they are joined, so that both sides have shuffles of their own, which Spark can split at a hot anchor.
     shared = written(anchors.groupBy("a").count().where("count > 1").select("a"))
-    rows = written((all_rows if keep else rows).join(shared, "a"))
-    discard(shared, *([all_rows] if keep else []))
+    rows = written(rows.join(shared, "a"))
+    discard(shared)
     classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n")))
     crowds = written(classes.groupBy("a").count().where("count > 1").select("a", (F.col("count") > hot).cast("int").alias("kind")))
     alone = F.lit(None).cast("long")
@@ -215,7 +230,6 @@ def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, b
     names = ["d", "t", "kind", "ka", "kb", "kc", "lo", "n", "body", "classes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_items = items()
         for part in slices(batches, 50):
             xs = part.column(3)
             flat = xs.flatten()
@@ -227,7 +241,8 @@ def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, b
             for row, end in enumerate(ends.tolist()):
                 d, t, text = (part.column(i)[row].as_py() for i in range(3))
                 at = np.arange(end - len(xs[row]), end)
-                x = to_items(text) if body is None or (field["kind"][at] == 1).any() else None
+                code = np.frombuffer(text.encode(), np.uint8)
+                x = items(code, np.array([0, len(code)]))[0] if body is None or (field["kind"][at] == 1).any() else None
                 raw = x if body is None else body(text)
                 hot = at[field["kind"][at] == 1]
                 if len(hot):

@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.anchors import covered, keyed, repeated_windows
-from kinfold.llm.common import arrow_columns, mix
+from kinfold.llm.anchors import BYTE_ITEMS, covered, keyed, repeated_windows
+from kinfold.llm.common import arrow_columns
 
 WINDOW, ANCHOR = 100, 32
-#: A 64-bit item for each byte.
-BYTE_ITEMS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def suffix_order(text: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
@@ -49,7 +47,10 @@ def suffix_order(text: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Shard:
-    """A shard's transform: the byte before each suffix in their order, where that longer suffix stands, and how far the suffix lies in its own text."""
+    """A shard's transform: the byte before each suffix in their order, where that longer suffix stands, and how far the suffix lies in its own text.
+
+    ``before8`` and ``back8`` say the same of the eight bytes before, the nearest in the lowest byte.
+    """
 
     def __init__(self, text: np.ndarray, room: np.ndarray, inside: np.ndarray, depth: int):
         self.order = suffix_order(text, room, depth)
@@ -58,6 +59,10 @@ class Shard:
         self.inside = inside[self.order]
         self.before = text[self.order - 1]  # read only for suffixes that do not begin their text
         self.back = place[self.order - 1]
+        eight = np.zeros(len(text), np.uint64)
+        for j in range(1, 9):
+            eight |= np.roll(text, j).astype(np.uint64) << np.uint64(8 * (j - 1))
+        self.before8, self.back8 = eight[self.order], place[self.order - 8] if len(text) >= 8 else self.back
 
 
 def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,47 +74,57 @@ def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.
     An interval of two stands in its order already: its suffixes only have to agree in the byte before.
     """
     offset = np.cumsum([0] + [len(s.order) for s in shards])
-    before = np.concatenate([s.before for s in shards])
-    back = np.concatenate([s.back + np.int32(o) for s, o in zip(shards, offset, strict=False)])
-    inside = np.concatenate([s.inside for s in shards])
+    before, before8, inside = (np.concatenate([getattr(s, f) for s in shards]) for f in ("before", "before8", "inside"))
+    back, back8 = (np.concatenate([getattr(s, f) + np.int32(o) for s, o in zip(shards, offset, strict=False)]) for f in ("back", "back8"))
     text_at = np.concatenate([s.order + o for s, o in zip(shards, offset, strict=False)])
     at = np.flatnonzero(inside >= depth).astype(np.int32)  # the interleave before the first step: shard after shard
     block = np.zeros(len(at), np.int32)
-    pairs = np.empty((0, 2), np.int32)
-    left: list[tuple[np.ndarray, int]] = []  # suffixes that share their interval no more after the next step, and their steps
-
-    def step_pairs(pairs: np.ndarray, step: int) -> np.ndarray:
-        same = before[pairs[:, 0]] == before[pairs[:, 1]]
-        if not same.all():
-            left.append((pairs[~same].ravel(), step - 1))
-            pairs = pairs[same]
-        return back[pairs]
+    twos: list[np.ndarray] = []
+    left: list[tuple[np.ndarray, np.ndarray | int]] = []  # places in the text of strings that are shared so far and no farther, and their lengths
+
+    def refine_pairs(pairs: np.ndarray, have: int) -> np.ndarray:
+        """Intervals of two, of ``have`` bytes, to the full depth."""
+        while have < depth and len(pairs):
+            step = min(8, depth - have)
+            unlike = (before8[pairs[:, 0]] ^ before8[pairs[:, 1]]) & np.uint64((1 << (8 * step)) - 1)
+            if unlike.any():
+                apart = unlike != 0
+                same = sum(((unlike[apart] & np.uint64((1 << (8 * k)) - 1)) == 0).astype(np.int64) for k in range(1, 8))  # bytes nearest to the suffix
+                left.append(((text_at[pairs[apart]] - same[:, None]).ravel(), np.repeat(have + same, 2)))
+                pairs = pairs[~apart]
+            if step == 8:
+                pairs = back8[pairs]
+            else:
+                for _ in range(step):
+                    pairs = back[pairs]
+            have += step
+        return pairs
 
     for step in range(1, depth + 1):
-        pairs = step_pairs(pairs, step)
         if not len(at):
-            continue
+            break
         byte = before[at]
         order = np.argsort(byte, kind="stable")
         was, block, byte = at[order], block[order], byte[order]
         new = np.ones(len(at) + 1, bool)
         new[1:-1] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
         single = new[:-1] & new[1:]
-        left.append((was[single], step - 1))
+        left.append((text_at[was[single]], step - 1))
         block = np.cumsum(new[:-1], dtype=np.int32)
         at = back[was]
         if step % 4:
             at, block = at[~single], block[~single]
             continue
         size = np.bincount(block)[block]
-        pairs = np.concatenate([pairs, at[size == 2].reshape(-1, 2)])
+        twos.append(refine_pairs(at[size == 2].reshape(-1, 2), step))
         at, block = at[size > 2], block[size > 2]
+    pairs = np.concatenate([np.empty((0, 2), np.int32), *twos])
     found = np.concatenate([at, pairs.ravel()])
     block = np.concatenate([block, np.repeat(np.arange(len(pairs)), 2) + (int(block.max()) + 1 if len(block) else 0)])
-    left.append((found, depth))
-    place = text_at[np.concatenate([x for x, _ in left])]
+    left.append((text_at[found], depth))
+    place, length = np.concatenate([x for x, _ in left]), np.concatenate([np.broadcast_to(h, len(x)) for x, h in left])
     reach = np.zeros(len(before), np.int64)  # where the shared string ends that begins here
-    np.maximum.at(reach, place, place + np.repeat([h for _, h in left], [len(x) for x, _ in left]))
+    np.maximum.at(reach, place, place + length)
     prefixes = np.maximum(np.maximum.accumulate(reach) - np.arange(len(reach)), 0)
     return text_at[found], block, prefixes
 
@@ -136,14 +151,13 @@ def resolve(contexts: list[tuple[int, np.ndarray]], roles: list[int] | None = No
     if shards:
         found, block, prefixes = repeated_intervals(shards, WINDOW)
         marks[prefixes >= WINDOW] = True  # of an interval, all but its first suffix stay marked
-        order = np.lexsort((found, block))
-        found, block = found[order], block[order]
-        marks[found[np.diff(block, prepend=-1) != 0]] = False
+        heads = np.flatnonzero(np.diff(block, prepend=-1))
+        marks[np.minimum.reduceat(found, heads) if len(heads) else heads] = False
     return [marks[e - n : e - WINDOW] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def byte_items():
-    return lambda text: BYTE_ITEMS[np.frombuffer(text.encode(), np.uint8)]
+def byte_items(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return BYTE_ITEMS[raw], starts
 
 
 def raw_bytes(text: str) -> np.ndarray:

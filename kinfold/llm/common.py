@@ -70,6 +70,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, most: int = 1 << 22) ->
             lo = hi
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, one after the other, and where each starts, with the end at last."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    starts = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, starts - starts[0]
+
+
 def arrow_columns(
     df: DataFrame,
     inputs: list[str],

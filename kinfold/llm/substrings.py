@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.anchors import covered, keyed, repeated_windows
-from kinfold.llm.common import WordHashes, arrow_columns
+from kinfold.llm.anchors import BYTE_ITEMS, Hashes, covered, keyed, repeated_windows
+from kinfold.llm.common import arrow_columns, mix
 
 WINDOW, ANCHOR = 50, 10
+#: Which bytes are no ASCII white space.
+NO_SPACE = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 class SuffixAutomaton:
@@ -98,9 +100,16 @@ def resolve(contexts: list[tuple[int, np.ndarray]], roles: list[int] | None = No
     return [np.array(automaton.repeats(s, doc, WINDOW), bool) if role else none for (doc, _), s, role in zip(contexts, sequences, roles, strict=True)]
 
 
-def word_items():
-    hashes = WordHashes()
-    return lambda text: hashes.of(text.encode().split())
+def word_items(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts that lie one after the other in raw, each from its start on; and where each text's words start."""
+    letter = np.concatenate([NO_SPACE[raw], [False]])
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[starts] = True
+    after = np.concatenate([[False], letter[:-1]]) & ~edge  # whether the byte before belongs to the same text and to a word
+    begin = np.flatnonzero(letter & ~after)
+    end = np.flatnonzero(np.concatenate([[False], letter[:-1]]) & (~letter | edge))
+    size = (end - begin).astype(np.uint64)
+    return mix(Hashes(BYTE_ITEMS[raw]).of(begin, end) + size), np.searchsorted(begin, starts)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +120,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input.  Null and empty texts have no words.  A null id is smaller than all others.
     """
     base, once = keyed(docs, id_col, text_col)
-    found = repeated_windows(once, word_items, resolve, WINDOW, ANCHOR, within=False, keep=True)
+    found = repeated_windows(once, word_items, resolve, WINDOW, ANCHOR, within=False)
     whole = base.join(found.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "ranges")
     out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 

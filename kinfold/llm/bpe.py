@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -26,6 +27,23 @@ from kinfold.llm.common import arrow_columns
 #: Characters that the pattern's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
 
+#: Letters and numbers that later editions of Unicode have assigned and the vocabulary's (16.0) does not know as such.
+UNKNOWN = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals of Unicode 16.0 and 17.0 with their small letters, which the library lowers.
+LATER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_RARE = re.compile("[\u0558-\U0003ffff]")  # holds all of UNKNOWN and LATER
+_UNKNOWN = regex.compile(f"[{UNKNOWN}]")
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: itself where visible, else from U+0100 on."""
@@ -44,7 +62,10 @@ class WordBpe:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"] or data["decoder"]:
             raise ValueError("not a word vocabulary of the kind this encoder reads")
         self.end = model["end_of_word_suffix"]
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"].replace(r"^\s", f"^{SPACE}"))
+        pattern = pre[0]["pattern"]["Regex"].replace(r"^\s", f"^{SPACE}")
+        self.pattern = regex.compile(pattern)
+        known = {c: rf"[\p{{{c}}}--[{UNKNOWN}]]" for c in "LN"}  # for texts that hold unknown letters
+        self.careful = regex.compile("(?V1)" + pattern.replace(r"\p{L}", known["L"]).replace(r"\p{N}", known["N"]))
         vocab, to_byte = model["vocab"], byte_symbols()
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
@@ -56,6 +77,7 @@ class WordBpe:
             if all(c in to_byte for c in body):
                 (self.final if last else self.inner)[bytes(to_byte[c] for c in body)] = i
         self.raw = {i: (b, last) for last, d in ((False, self.inner), (True, self.final)) for b, i in d.items()}
+        self.most = max(map(len, self.final), default=0)
         self.longest: dict[bytes, int] = {}  # of the inner tokens that start with four given bytes
         for raw in self.inner:
             if len(raw) >= 4:
@@ -115,7 +137,7 @@ class WordBpe:
         """Greedy longest match; only the last token may carry the end mark."""
         out, i, n, inner, final, longest = [], 0, len(raw), self.inner, self.final, self.longest
         while i < n:
-            if (t := final.get(raw[i:])) is not None:
+            if n - i <= self.most and (t := final.get(raw[i:])) is not None:
                 out.append(t)
                 break
             k = min(longest.get(raw[i : i + 4], 3), n - 1 - i)
@@ -148,6 +170,8 @@ class WordBpe:
         pairs = np.unique(keys[follow != -2])
         at = np.searchsorted(self.known, pairs)
         new = pairs[(at >= len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != pairs)] if len(self.known) else pairs
+        if len(self.known) + len(new) > self.cache:
+            self.known, self.fits, new = np.empty(0, np.int64), np.empty(0, bool), pairs
         if len(new):
             fits = np.fromiter((self.stands(int(k) >> 20, (int(k) & 0xFFFFF) - 2) for k in new), bool, len(new))
             order = np.argsort(both := np.concatenate([self.known, new]), kind="stable")
@@ -166,15 +190,22 @@ class WordBpe:
     def pieces(self, text: str) -> list:
         """The text's words, and ids for control strings, in order."""
         if self.split is None or not any(s in text for s in self.special):
-            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return self.words_of(text)
         out: list = []
         for part in self.split.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += self.pattern.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                out += self.words_of(part)
         return out
 
+    def words_of(self, text: str) -> list[str]:
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii() or not _RARE.search(text):
+            return self.pattern.findall(text)
+        text = text.translate(LATER)
+        return (self.careful if _UNKNOWN.search(text) else self.pattern).findall(text)
+
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         flat, sizes = [], []

@@ -32,13 +32,14 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """All of df if it has at most ``rows`` rows, else about that many, chosen by the hash of key where they are.
 
     No row is sorted or sent to be chosen, however many there are.  Should one key be
-    so common that over twice as many come together, ``rows`` of them are taken.
+    so common that over twice as many come together, those are thinned out by lot.
     """
     n = df.count()
     if n <= rows:
         return df
     some = df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 2) < int(rows / n * (1 << 62)))
-    return some if some.count() <= 2 * rows else some.limit(rows)
+    m = some.count()
+    return some if m <= 2 * rows else some.where(F.rand(7) < rows / m)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import ann, bpe, bwt, chat, decontam, jaccard, langid, secrets, substrings, toxicity
+from kinfold.llm.anchors import written
 from kinfold.llm.common import bounded_sample, fold, table
 
 
@@ -101,8 +102,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str, spec_path: str | None = None) -> D
 
 
 def secret_model(spark: SparkSession, docs: DataFrame) -> secrets.MarkovRatio:
-    """The model of random strings, trained on generated random strings and the words of at most 2,000 documents."""
-    return secrets.train(secrets.random_samples(spark).union(secrets.identifier_samples(docs, "text")))
+    """The model of random strings, trained on made random strings and identifiers, and on the words of at most 2,000 documents."""
+    samples = secrets.random_samples(spark).union(secrets.made_identifiers(spark)).union(secrets.identifier_samples(docs, "text"))
+    return secrets.train(written(samples))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ SCRIPT_STARTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900,
 SCRIPTS = ["latin", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "devanagari", "other", "thai", "other", "hangul", "other", "latin", "greek", "other", "kana", "other", "han", "other", "hangul", "other", "han", "other", "han", "other"]
 SCRIPT_NAMES = sorted(set(SCRIPTS))
 SCRIPT_OF = np.array([SCRIPT_NAMES.index(s) for s in SCRIPTS])
+#: The score of a word in a language that its script rules out.
+NEVER = -1e6
 _ALPHA: list[np.ndarray] = []
 
 
@@ -55,9 +57,16 @@ class LanguageModel:
     langs: list[str]
     bits: int
     table: np.ndarray  # slot, language: log probability
-    scripts: np.ndarray  # script, language: 0, or a penalty where the language isn't written so
+    scripts: np.ndarray  # script, language: whether the language is written so
     switch: float = 12.0
 
+    def candidates(self, mask: int) -> np.ndarray:
+        """The languages written in all scripts of a mask; where there are none, in any of them; where there are none, all."""
+        used = self.scripts[[bool(mask >> i & 1) for i in range(len(SCRIPT_NAMES))]]
+        found = np.flatnonzero(used.all(axis=0))
+        found = found if len(found) else np.flatnonzero(used.any(axis=0))
+        return found if len(found) else np.arange(len(self.langs))
+
     def label(self, texts: list[str | None]) -> tuple:
         """For each text: language, score, and spans (start, end, language) in code points."""
         texts = [t or "" for t in texts]
@@ -81,7 +90,10 @@ class LanguageModel:
         return lang, score, n_spans, start[runs], end[lasts], [self.langs[s] for s in state[runs]], first
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Of each run of letters: start, end (in its text), letters, score by language; and the runs of each text."""
+        """Of each run of letters: start, end (in its text), letters, score by language; and the runs of each text.
+
+        Only the languages that the scripts leave score a word; all others have NEVER.
+        """
         code, letter, starts = cut(texts)
         at = np.flatnonzero(letter)
         if not len(at):
@@ -89,9 +101,14 @@ class LanguageModel:
             return none, none, none, np.empty((0, len(self.langs)), np.float32), np.zeros(len(texts), np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         script = SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, code[at], side="right") - 1]
-        value = self.table[trigram_slots(code, letter, at, self.bits)] + self.scripts[script]
-        emit = np.add.reduceat(value, first, axis=0)
+        slots, masks = trigram_slots(code, letter, at, self.bits), np.bitwise_or.reduceat(1 << script, first)
         size = np.diff(np.append(first, len(at)))
+        emit = np.full((len(first), len(self.langs)), NEVER, np.float32)
+        for mask in np.unique(masks).tolist():
+            rows, chosen = np.flatnonzero(masks == mask), self.candidates(mask)
+            own = slots if len(rows) == len(first) else slots[np.repeat(masks == mask, size)]
+            heads = np.cumsum(size[rows]) - size[rows]
+            emit[rows[:, None], chosen] = np.add.reduceat(self.table[own[:, None], chosen], heads, axis=0)
         begin = at[first]
         doc = np.searchsorted(starts, begin, side="right") - 1
         start = begin - starts[doc]
@@ -104,7 +121,7 @@ def viterbi(emit: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     begin, steps = first[order], sizes[order]
     longest = int(steps[0]) if len(steps) else 0
     active = np.searchsorted(-steps, -np.arange(longest), side="left")  # sequences with more than t steps
-    back = np.full(emit.shape, -1, np.int8)  # -1: stay
+    back = np.full(emit.shape, -1, np.int32)  # -1: stay
     value, out = emit[begin[: active[0]]].astype(float), np.empty(len(emit), np.int64)
     final = np.zeros(len(steps), np.int64)
     for t in range(1, longest + 1):
@@ -167,9 +184,8 @@ def train(docs: DataFrame, rows: int = 8_000, bits: int = 17, switch: float = 12
     kind, slot, n = got["kind"].to_numpy(), got["slot"].to_numpy(), got["n"].to_numpy(float)
     np.add.at(table, (slot[kind == 0], code[kind == 0]), n[kind == 0])
     np.add.at(scripts, (slot[kind == 1], code[kind == 1]), n[kind == 1])
-    used = scripts >= 0.01 * np.maximum(scripts.sum(axis=0), 1)
-    penalty = np.where(used | ~used.any(axis=1, keepdims=True), 0.0, -20.0)
-    return LanguageModel(langs, bits, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32), penalty.astype(np.float32), switch)
+    used = (scripts >= 0.01 * scripts.sum(axis=0)) & (scripts > 0)
+    return LanguageModel(langs, bits, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32), used, switch)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -57,12 +57,24 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([(norm - 2 * x[i : i + 4096] @ centre.T).argmin(axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, np.int64)])
 
 
+def assign(x: np.ndarray, coarse: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """The list of each row: its nearest coarse centroid, then the finer one nearest to what is left."""
+    near = nearest(x, coarse)
+    return near * len(fine) + nearest(x - coarse[near], fine)
+
+
 @dataclass
 class IvfPq:
-    """The trained part: centroids, code words of each subspace, and how many lists a query visits."""
+    """The trained part: centroids, code words of each subspace, and how many lists a query visits.
+
+    Lists are pairs of a coarse centroid and of a finer one that all coarse ones share, so that
+    many lists need no larger sample.
+    """
 
     dim: int
-    centroids: np.ndarray  # list, component
+    coarse: np.ndarray  # coarse centroid, component
+    fine: np.ndarray  # finer centroid, component
+    centroids: np.ndarray  # list, component: all sums of both
     words: np.ndarray  # subspace, word, component
     parts: list[tuple[int, int]]  # each subspace's components
     probes: int
@@ -70,7 +82,7 @@ class IvfPq:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes of the residual's direction, and its length: close to a centroid, codes are as fine as elsewhere."""
-        lists = nearest(x, self.centroids)
+        lists = assign(x, self.coarse, self.fine)
         rest, length = unit(x - self.centroids[lists])
         return lists, length, np.stack([nearest(rest[:, a:b], self.words[m][:, : b - a]) for m, (a, b) in enumerate(self.parts)], axis=1).astype(np.uint8)
 
@@ -89,10 +101,11 @@ class IvfPq:
 def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, subspaces: int = 16, recall: float = 0.99, k: int = 20) -> IvfPq | None:
     """Train on a sample of about ``sample`` rows, by the hash of the vector, the only rows that reach the driver.
 
-    The number of lists is half the root of the number of rows, 1,024 at most.  The
-    number of lists visited is the least that finds ``recall`` of the true k nearest
-    for 300 different vectors of the sample among the others.  Only vectors of the sample's most common length take part.
-    Without usable vectors there is no index (None).
+    The number of lists is half the root of the number of rows; over 1,024 they have
+    two levels.  The number of lists visited is the least that finds ``recall`` of the
+    true k nearest for 300 different vectors of the sample among the others.  The index
+    holds vectors of the sample's most common length.  Without usable vectors there is
+    no index (None).
     """
     good = vectors.where(usable(F.col(vector))).select(F.col(vector).cast("array<double>").alias("v"))
     rows = bounded_sample(good, "v", sample).collect()
@@ -102,9 +115,12 @@ def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, sub
     dim = int(lengths.mode()[0])
     x = np.array([r["v"] for r in rows if len(r["v"]) == dim])
     total = good.count()
-    lists = int(min(1024, max(1, math.sqrt(total) / 2))) if total > 50 * k else 1
-    centroids = kmeans(x, lists)
-    rest, _ = unit(x - centroids[nearest(x, centroids)])
+    lists = max(1, round(math.sqrt(total) / 2))
+    levels = math.ceil(lists / 1024)
+    coarse = kmeans(x, math.ceil(lists / levels))
+    fine = kmeans(x - coarse[nearest(x, coarse)], levels) if levels > 1 else np.zeros((1, dim))
+    centroids = (coarse[:, None, :] + fine[None, :, :]).reshape(-1, dim)
+    rest, _ = unit(x - centroids[assign(x, coarse, fine)])
     bounds = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int)
     parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
     widest = max(b - a for a, b in parts)
@@ -119,11 +135,11 @@ def fit(vectors: DataFrame, vector: str = "embedding", sample: int = 16_384, sub
     scores = probe @ apart.T
     scores[np.arange(len(probe)), chosen] = -np.inf
     top = np.argsort(-scores, axis=1)[:, : max(1, min(k, len(apart) - 1))]
-    own = nearest(apart, centroids)
+    own = assign(apart, coarse, fine)
     rank = np.argsort(np.argsort(-(probe @ centroids.T), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, own[top], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
-    return IvfPq(dim, centroids, words, parts, probes, max(400, 20 * k))
+    return IvfPq(dim, coarse, fine, centroids, words, parts, probes, max(400, 20 * k))
 
 
 def search(
@@ -134,7 +150,8 @@ def search(
 
     rows and queries hold row_id (long) and vector.  A row of the query's own id is
     no candidate; a query with fewer candidates gets all.  Unusable vectors, null
-    ids and an index of None give no rows.  Lists are cut into blocks of about
+    ids and an index of None give no rows.  Vectors of another length than the index's
+    are compared with all of their own length, in blocks.  Lists are cut into blocks of about
     row_block rows and the queries that visit them into blocks of about query_block;
     of equal vectors in a block, only the k+1 smallest ids can matter and are ranked.
     """
@@ -144,8 +161,9 @@ def search(
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(index)
 
-    def clean(df: DataFrame) -> DataFrame:
-        good = df.where(usable(F.col(vector)) & F.col(row_id).isNotNull() & (F.size(vector) == index.dim))
+    def clean(df: DataFrame, own: bool = True) -> DataFrame:
+        fits = F.size(vector) == index.dim
+        good = df.where(usable(F.col(vector)) & F.col(row_id).isNotNull() & (fits if own else ~fits))
         return good.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def matrix(v: pa.ListArray) -> np.ndarray:
@@ -168,7 +186,7 @@ def search(
     def make_queries():
         def fn(v: pa.ListArray) -> list:
             q = np.ascontiguousarray(matrix(v))
-            return [[x.tolist() for x in sent.value.visit(q, sizes, 50 * k)], [r.tobytes() for r in q]]
+            return [[x.tolist() for x in sent.value.visit(q, sizes, 10 * k)], [r.tobytes() for r in q]]
 
         return fn
 
@@ -200,7 +218,7 @@ def search(
         x, ids, codes, copies = x[keep], ids[keep], codes[keep], np.bincount(copy_of[keep], minlength=1).max()
         y = np.frombuffer(b"".join(q["raw"]), np.float64).reshape(len(q), -1)
         share = len(ids) / max(1.0, index.probes * sizes.sum() / len(sizes))  # of the rows that a query visits
-        depth = min(len(ids), max(10 * k, math.ceil(2 * index.depth * share)) * int(copies))
+        depth = min(len(ids), max(4 * k, math.ceil(2 * index.depth * share)) * int(copies))
         names, found = q["id"].to_numpy(), [[], [], []]
         for lo in range(0, len(y), 32):
             part = y[lo : lo + 32]
@@ -221,5 +239,36 @@ def search(
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True)))
 
     pairs = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    others = clean(queries, False)
+    if not others.isEmpty():
+        pairs = pairs.union(_exact(clean(rows, False), others, k, row_block, query_block))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(rows: DataFrame, queries: DataFrame, k: int, row_block: int, query_block: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block of rows for each query among the vectors of its length."""
+
+    def blocked(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+        sized = df.withColumn("dim", F.size("v"))
+        counts = sized.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
+        return sized.join(counts, "dim").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int")), counts
+
+    left, r = blocked(rows, row_block, "rb")
+    right, q = blocked(queries, query_block, "qb")
+    left = left.join(q, "dim").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)))
+    right = right.join(r, "dim").withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("n_rb") - 1)))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(a) and len(b):
+            x, ids = np.array(a["v"].tolist()), a["id"].to_numpy()
+            for name, v in zip(b["id"], b["v"], strict=True):
+                score = np.where(ids == name, -np.inf, (x * np.asarray(v)).sum(axis=1))
+                top = np.lexsort((ids, -score))[: k + 1]
+                top = top[ids[top] != name][:k]
+                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[top], "score": score[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    keys = ["dim", "rb", "qb"]
+    return left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")

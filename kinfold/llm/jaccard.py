@@ -145,7 +145,8 @@ def near_duplicates(
 
         return fn
 
-    sets = arrow_columns(base, [text_col], outputs, make, keep=["__d"])
+    # Written once, with the columns that the result keeps.
+    sets = written(arrow_columns(base, [text_col], outputs, make, keep=["__d"] if names == [id_col] else [*names, "__d"]))
     nodes = sets.where("__n > 0").groupBy(F.col("__k").alias("k")).agg(
         F.min("__d").alias("d"), F.count("*").alias("m"), F.any_value("__n").alias("n"), F.any_value("__roots").alias("roots"), F.any_value("__sketch").alias("sketch")
     )
@@ -243,18 +244,12 @@ def near_duplicates(
     final = labelled.join(least, "root").select(
         F.col("k").alias("__k"), "class_id", "first_set", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), (F.col("m") - 1).alias("n_copies")
     )
-    key = T.StructType([outputs["__k"]])
-
-    def make_keys():
-        inner = make_sets()
-        return lambda texts: inner(texts)[:1]
-
-    rows = arrow_columns(base, [text_col], key, make_keys, keep=[*names, "__d"]) if names != [id_col] else sets.select("__k", "__d")
+    rows = sets.select(*([] if names == [id_col] else [F.col(f"`{c}`") for c in names]), "__k", "__d")
     out = rows.join(final, "__k", "left").withColumns({"class_id": F.coalesce("class_id", "__d"), "n_links": F.coalesce("n_links", F.lit(0)), "n_copies": F.coalesce("n_copies", F.lit(0))})
     if names == [id_col]:
         out = out.withColumn(id_col, F.when(F.col("__d") > -(1 << 63), F.col("__d")))
     more = [F.col("__k").alias("set_id"), "first_set"] if sets_too else []
-    return out.select(*names, "class_id", "n_links", "n_copies", *more)
+    return out.select(*[F.col(f"`{c}`") for c in names], "class_id", "n_links", "n_copies", *more)
 
 
 def _repeated(base: DataFrame) -> bool:

@@ -43,10 +43,13 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one is set here only where none is named, as in tests."""
+    """The session's shared checkpoint folder; one is set here only where none is named and all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinfold-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.llm.anchors import written
 from kinfold.llm.common import WordHashes, arrow_columns, mix, window_hashes
 
 #: Words are runs of letters, marks and digits of the lower-cased text.
@@ -98,25 +99,30 @@ class ItemIndex:
 
 def contained(
     docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5, text_col: str = "text", keep: list[str] | None = None,
-    item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000,
+    item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000, block_bytes: int = 1 << 26,
 ) -> DataFrame:
     """docs with matches: an array of (item_id, shared, containment) of each item whose distinct word shingles it holds to the threshold.
 
     Shingles are runs of ``size`` words, for shorter items runs of all their words.
     Items without words or with a null id match nothing; a null or empty document
-    matches nothing.  Items are searched in blocks of ``block_items``, so that what
-    is sent to the tasks is bounded, however many items there are; each block is
-    one more pass over the documents.
+    matches nothing.  Items are searched in blocks of about ``block_items`` items and
+    ``block_bytes`` bytes of shingles at most, so that what is sent to the tasks is
+    bounded, however many items there are; each block is one more pass over the
+    documents, written before the next block is sent.
     """
     row = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.IntegerType()), T.StructField("containment", T.DoubleType())])
     out = T.StructType([T.StructField("matches", T.ArrayType(row))])
     chosen = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, math.ceil(chosen.count() / block_items))
+    total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(total["n"] / block_items), math.ceil(16 * total["chars"] / block_bytes))  # a word has two characters at least, and up to three hashes
     block = F.pmod(F.xxhash64("i"), F.lit(blocks))
     found = docs.drop("matches")
     for b in range(blocks):
         rows = chosen.where((block == b) | (F.col("i").isNull() & F.lit(b == 0))).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex.build([r["i"] for r in rows], [r["t"] for r in rows], threshold, size))
+        index = ItemIndex.build([r["i"] for r in rows], [r["t"] for r in rows], threshold, size)
+        if len(rows) > 1 and index.bytes() > 4 * block_bytes:
+            raise ValueError(f"a block of {len(rows)} items has {index.bytes()} bytes; lower block_items")
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(sent=sent):
             hashes = WordHashes()
@@ -130,6 +136,9 @@ def contained(
         name = "matches" if blocks == 1 else f"__matches_{b}"
         named = T.StructType([T.StructField(name, out["matches"].dataType)])
         found = arrow_columns(found, [text_col], named, make, None if keep is None or b < blocks - 1 else [*keep, *[f"__matches_{i}" for i in range(b)]])
+        if blocks > 1:
+            found = written(found)
+            sent.unpersist()
     if blocks > 1:
         found = found.withColumn("matches", F.array_sort(F.concat(*[f"__matches_{b}" for b in range(blocks)]))).drop(*[f"__matches_{b}" for b in range(blocks)])
     return found

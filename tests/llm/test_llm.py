@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 16)).round(3)
     x[200:700] = x[0]  # a third are copies
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] + [1.0] * 15), (2060, [None] + [1.0] * 15), (None, x[1].tolist()), (2080, [1.0, 2.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] + [1.0] * 15), (2060, [None] + [1.0] * 15), (None, x[1].tolist()), (3000, [1.0, 2.0]), (3001, [3.0, 4.0]), (3020, [-1.0, 4.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
     got = ann.search(table, table.where("vec_id % 20 = 0"), ann.fit(table)).collect()
     found, hits = {}, 0
@@ -179,13 +180,40 @@ def test_nearest_neighbours(spark):
         assert [k for k, _, _ in mine] == list(range(1, 21))
         assert all(abs(v - s[i]) < 1e-12 for _, i, v in mine)
         hits += len(set(top) & {i for _, i, _ in mine})
-    assert set(found) == set(range(0, 1500, 20))
+    assert set(found) == set(range(0, 1500, 20)) | {3000, 3020}
+    assert [(i, round(v, 9)) for _, i, v in sorted(found[3000])] == [(3001, 11.0), (3020, 7.0)]
     assert hits / (75 * 20) >= 0.9
     few = table.where("vec_id < 8 OR vec_id > 1990")
     assert ann.search(few, few.where("vec_id = 0"), ann.fit(few)).count() == 7
     assert ann.search(table.limit(0), table, ann.fit(table.limit(0))).isEmpty()
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_recall_over_many_lists(spark, monkeypatch, levels):
+    """Clusters in 24 dimensions over dozens of lists, of which a query visits a part and reranks a part of their rows."""
+    if levels > 1:
+        monkeypatch.setattr(ann.math, "ceil", lambda x, real=math.ceil: levels if x == lists / 1024 else real(x))
+    rng = np.random.default_rng(2)
+    n = 12_000
+    centre = rng.standard_normal((80, 24)) * 2
+    x = (centre[rng.integers(0, 80, n)] + rng.standard_normal((n, 24))).round(3)
+    lists = round(math.sqrt(n) / 2)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    index = ann.fit(table)
+    assert len(index.centroids) >= lists
+    assert index.probes < len(index.centroids) / 2
+    got = ann.search(table, table.where("vec_id % 40 = 0"), index).toPandas()
+    hits = total = 0
+    for q, rows in got.groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        top = set(np.argsort(-s, kind="stable")[:20].tolist())
+        hits, total = hits + len(top & set(rows["vec_id"])), total + 20
+    print("recall", hits / total, "lists", len(index.centroids), "visited", index.probes)
+    assert total == 300 * 20
+    assert hits / total >= 0.9
+
+
 def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(SPEC)
     own = bpe.WordBpe(open(SPEC, encoding="utf-8").read())
@@ -439,6 +467,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.ids == library.encode(text[r.doc_id], add_special_tokens=False).ids for r in out.collect())
 
 
+def test_pipeline_keeps_extra_columns(spark, tmp_path):
+    """Columns whose names operators use, or hold dots, come through every filtering stage; so does an empty table."""
+    extra = ["toxicity", "class_id", "matches", "n_links", "n_copies", "__secrets", "secrets", "__d", "__k", "set_id", "a.b", "start", "half", "item_id", "Text_2", "`tick"]
+    rows = [(i, prose(60, 5000 + i) + (" token=abcdef123" if i % 3 == 0 else ""), "en", "s", 9) for i in range(30)] + [(40, None, None, None, None), (41, "", "en", "s", 0)]
+    docs = documents(spark, rows)
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.concat(F.lit(f"mine{k}:"), F.col("doc_id")))
+    spark.createDataFrame([(i, 0, int(i % 4 == 1)) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(30, 1))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "toxicity":  # eight labels teach nothing
+            out = stage(spark, docs, str(tmp_path))
+            assert out.schema.names == docs.schema.names, name
+            got = out.toPandas()
+            assert len(got) == len(rows), name
+            for k, c in enumerate(extra):
+                assert (got[c] == f"mine{k}:" + got["doc_id"].astype(str)).all(), (name, c)
+        assert stage(spark, docs, str(tmp_path)).schema.names == docs.schema.names
+        assert stage(spark, empty, str(tmp_path)).isEmpty()
+    (tmp_path / "none").mkdir()
+    documents(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(tmp_path / f"none/{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_near_duplicates_of_one_id_are_told_apart(spark):
     """Unrelated rows of one id, or of none, all stay; of near copies and copies one stays, as do all rows without words."""
     base = [prose(80, 300 + i) for i in range(4)]

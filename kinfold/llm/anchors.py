@@ -137,7 +137,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
 
 #: What an extracted row holds: kind 0, a context under its anchor ka; kind 1, a window with hashes kb and kc of the hot anchor ka;
 #: kind 2, a run for the twins whose first member is in the document (ka, kb), of last members if kc is 1, with the classes of its contexts.
-EXTRACTED = "d long, t long, kind int, ka long, kb long, kc long, lo int, n int, body binary, classes array<struct<a:long,c:long,e:long,lo:int,n:int,flo:int>>"
+EXTRACTED = "d long, t long, kind int, ka long, kb long, kc long, lo int, n int, g int, body binary, classes array<struct<a:long,c:long,e:long,lo:int,n:int,flo:int,g:int>>"
+#: Members of a class that one task joins to what was found for it, at about most.
+GROUP = 4096
 
 
 def repeated_windows(
@@ -175,22 +177,23 @@ def repeated_windows(
     rows = docs.select("d", "t", "text").mapInArrow(scan(True), "d long, t long, a long, c long, e long, lo int, n int")
     anchors = docs.select("text").mapInArrow(scan(False), "a long")
     # Tables are written before they are joined, so that both sides have shuffles of their own, which Spark can split at a hot anchor.
-    shared = written(anchors.groupBy("a").count().where("count > 1").select("a"))
-    rows = written(rows.join(shared, "a"))
+    counts = anchors.groupBy("a").count().where("count > 1")
+    shared = written(counts.select("a", F.ceil(F.col("count") / GROUP).cast("int").alias("g")))
+    rows = written(rows.join(shared.hint("shuffle_hash"), "a"))
     discard(shared)
-    classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n")))
+    classes = written(_classes(rows, ["a", "c", "e"], F.any_value("n").alias("n"), F.any_value("g").alias("g")))
     crowds = written(classes.groupBy("a").count().where("count > 1").select("a", (F.col("count") > hot).cast("int").alias("kind")))
     alone = F.lit(None).cast("long")
-    first = classes.join(crowds, "a").select("f.d", "f.t", _wanted(F.col("kind"), F.col("a"), alone, alone, F.col("f.lo"), F.col("n")))
+    first = classes.join(crowds, "a").select("f.d", "f.t", _wanted(F.col("kind"), F.col("a"), alone, alone, F.col("f.lo"), F.col("n"), F.col("g")))
     got = _extract(docs, first.union(_twins(classes, within)), items, window, body)
     discard(classes, crowds)
     settled = written(_settle(got.where("kind = 2"), resolve, window, batch_bytes, body))
     open_ = _settle(got.where("kind = 0"), resolve, window, batch_bytes, body).select("d", "t", F.col("lo").alias("start"), F.col("n").alias("end"))
     marks = _spread(rows, settled, ["a", "c", "e"], within).union(open_)
-    windows = got.where("kind = 1").select("d", "t", F.col("ka").alias("a"), F.col("kb").alias("c"), F.col("kc").alias("e"), "lo")
+    windows = got.where("kind = 1").select("d", "t", F.col("ka").alias("a"), F.col("kb").alias("c"), F.col("kc").alias("e"), "lo", "g")
     if not windows.isEmpty():
-        classes = _classes(windows, ["a", "c", "e"], F.lit(1).alias("n"))
-        found = _extract(docs, _twins(classes, within), items, window, body)
+        classes = _classes(windows, ["a", "c", "e"], F.lit(1).alias("n"), F.any_value("g").alias("g"))
+        found = _extract(docs, _twins(classes, within), items, window, body, few=True)
         settled = written(_settle(found, resolve, window, batch_bytes, body))
         marks = marks.union(_spread(windows, settled, ["a", "c", "e"], within))
     return marks.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
@@ -202,9 +205,9 @@ def _classes(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(place).alias("f"), F.max(place).alias("l"), *more)
 
 
-def _wanted(kind: Column, ka: Column, kb: Column, kc: Column, lo: Column, n: Column, a=None, c=None, e=None, flo=None) -> Column:
+def _wanted(kind: Column, ka: Column, kb: Column, kc: Column, lo: Column, n: Column, g: Column, a=None, c=None, e=None, flo=None) -> Column:
     none, small = F.lit(None).cast("long"), F.lit(None).cast("int")
-    parts = [kind.cast("int").alias("kind"), ka.alias("ka"), kb.alias("kb"), kc.alias("kc"), lo.alias("lo"), n.cast("int").alias("n")]
+    parts = [kind.cast("int").alias("kind"), ka.alias("ka"), kb.alias("kb"), kc.alias("kc"), lo.alias("lo"), n.cast("int").alias("n"), g.alias("g")]
     rest = [(none if v is None else v).alias(k) for k, v in (("a", a), ("c", c), ("e", e))]
     return F.struct(*parts, *rest, (small if flo is None else flo).alias("flo")).alias("x")
 
@@ -215,19 +218,23 @@ def _twins(classes: DataFrame, within: bool) -> DataFrame:
     if within:
         apart = apart | (F.col("f.lo") != F.col("l.lo"))
     two, kd, kt = F.lit(2), F.col("f.d"), F.col("f.t")
-    first = F.struct(kd.alias("d"), kt.alias("t"), _wanted(two, kd, kt, F.lit(0).cast("long"), F.col("f.lo"), F.col("n")))
-    last = _wanted(two, kd, kt, F.lit(1).cast("long"), F.col("l.lo"), F.col("n"), F.col("a"), F.col("c"), F.col("e"), F.col("f.lo"))
+    first = F.struct(kd.alias("d"), kt.alias("t"), _wanted(two, kd, kt, F.lit(0).cast("long"), F.col("f.lo"), F.col("n"), F.col("g")))
+    last = _wanted(two, kd, kt, F.lit(1).cast("long"), F.col("l.lo"), F.col("n"), F.col("g"), F.col("a"), F.col("c"), F.col("e"), F.col("f.lo"))
     last = F.struct(F.col("l.d").alias("d"), F.col("l.t").alias("t"), last)
     return classes.where(apart).select(F.explode(F.array(first, last)).alias("y")).select("y.d", "y.t", "y.x")
 
 
-def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, body: Callable | None) -> DataFrame:
-    """The content of what is wanted (d, t, x), cut from the documents: rows EXTRACTED."""
+def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, body: Callable | None, few: bool = False) -> DataFrame:
+    """The content of what is wanted (d, t, x), cut from the documents: rows EXTRACTED.
+
+    ``few`` writes what is wanted first, so that Spark knows its size and may send it to the documents rather than shuffle them.
+    """
     asked = wanted.groupBy("d", "t").agg(F.collect_list("x").alias("xs"))
-    texts = docs.join(asked.hint("shuffle_hash"), ["d", "t"])
-    types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-    member = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("flo", pa.int32())])
-    names = ["d", "t", "kind", "ka", "kb", "kc", "lo", "n", "body", "classes"]
+    asked = written(asked) if few else asked.hint("shuffle_hash")
+    texts = docs.join(asked, ["d", "t"])
+    types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()]
+    member = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("e", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("flo", pa.int32()), ("g", pa.int32())])
+    names = ["d", "t", "kind", "ka", "kb", "kc", "lo", "n", "g", "body", "classes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 50):
@@ -235,7 +242,7 @@ def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, b
             flat = xs.flatten()
             field = {f.name: flat.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
             ends = np.cumsum(pc.list_value_length(xs).to_numpy())
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             bodies: list[bytes | None] = []
             member_of, sizes = [], []
             for row, end in enumerate(ends.tolist()):
@@ -249,7 +256,7 @@ def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, b
                     lo = np.concatenate([np.arange(s, s + n) for s, n in zip(field["lo"][hot], field["n"][hot], strict=True)])
                     k = len(lo)
                     hashes = [Hashes(x, b).of(lo, lo + window).view(np.int64) for b in (BASE, OTHER)]
-                    for column, v in zip(out, ([d] * k, [t] * k, [1] * k, np.repeat(field["ka"][hot], field["n"][hot]), *hashes, lo, [1] * k), strict=True):
+                    for column, v in zip(out, ([d] * k, [t] * k, [1] * k, np.repeat(field["ka"][hot], field["n"][hot]), *hashes, lo, [1] * k, np.repeat(field["g"][hot], field["n"][hot])), strict=True):
                         column.append(np.asarray(v, np.int64))
                     bodies += [None] * k
                     sizes.append(np.zeros(k, np.int64))
@@ -265,7 +272,7 @@ def _extract(docs: DataFrame, wanted: DataFrame, items: Callable, window: int, b
                 run_n = np.add.reduceat(n, heads) if len(heads) else n
                 bodies += [raw[s : s + m + window - 1].tobytes() for s, m in zip(run_lo.tolist(), run_n.tolist(), strict=True)]
                 k, keys = len(heads), at[heads]
-                for column, v in zip(out, ([d] * k, [t] * k, *(field[f][keys] for f in ("kind", "ka", "kb", "kc")), run_lo, run_n), strict=True):
+                for column, v in zip(out, ([d] * k, [t] * k, *(field[f][keys] for f in ("kind", "ka", "kb", "kc")), run_lo, run_n, field["g"][keys]), strict=True):
                     column.append(np.asarray(v, np.int64))
                 late = (field["kind"][at] == 2) & (field["kc"][at] == 1)
                 member_of.append(at[late])
@@ -326,18 +333,18 @@ def _settle(rows: DataFrame, resolve: Callable, window: int, batch_bytes: int, b
                 spans += [(i, s, e) for i in np.flatnonzero((got > 0) & (got < n)) for s, e in _runs(marks[begin[i] : begin[i] + n[i]])]
                 if spans:
                     at, start, end = np.array(spans, np.int64).T
-                    late.append((start, end, *(mine[f][at] for f in ("a", "c", "e")), np.full(len(at), ka), np.full(len(at), kb), mine["flo"][at]))
+                    late.append((start, end, *(mine[f][at] for f in ("a", "c", "e")), np.full(len(at), ka), np.full(len(at), kb), mine["flo"][at], mine["g"][at]))
         columns = [np.array(c, np.int64) for c in zip(*plain, strict=True)] if plain else [np.empty(0, np.int64)] * 4
-        more = [np.concatenate(c) for c in zip(*late, strict=True)] if late else [np.empty(0, np.int64)] * 8
+        more = [np.concatenate(c) for c in zip(*late, strict=True)] if late else [np.empty(0, np.int64)] * 9
         none = pa.nulls(len(more[0]), pa.int64())
         joined = [pa.concat_arrays([pa.array(x, pa.int64()), y]) for x, y in zip(columns, (none, none, pa.array(more[0], pa.int64()), pa.array(more[1], pa.int64())), strict=True)]
         joined += [pa.concat_arrays([pa.nulls(len(columns[0]), pa.int64()), pa.array(x, pa.int64())]) for x in more[2:]]
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.int32()]
-        return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(joined, kinds, strict=True)], names=["d", "t", "lo", "n", "a", "c", "e", "fd", "ft", "flo"])
+        kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(joined, kinds, strict=True)], names=["d", "t", "lo", "n", "a", "c", "e", "fd", "ft", "flo", "g"])
 
     keys = ("kind", "ka", "kb")
     plain = rows.repartition(*keys).sortWithinPartitions(*keys).select("d", "t", "kind", "ka", "kb", "kc", "lo", "body", "classes")
-    return plain.mapInArrow(run, "d long, t long, lo int, n int, a long, c long, e long, fd long, ft long, flo int")
+    return plain.mapInArrow(run, "d long, t long, lo int, n int, a long, c long, e long, fd long, ft long, flo int, g int")
 
 
 def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -347,11 +354,16 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _spread(rows: DataFrame, settled: DataFrame, keys: list[str], within: bool) -> DataFrame:
-    """(d, t, start, end): the ranges found for the classes' last members, in all members but the first."""
-    found = settled.select(*keys, F.col("lo").alias("s"), F.col("n").alias("e_"), "fd", "ft", "flo")
+    """(d, t, start, end): the ranges found for the classes' last members, in all members but the first.
+
+    Classes under anchors of many contexts (g groups of them) are joined group by group.
+    """
+    found = settled.select(*keys, F.col("lo").alias("s"), F.col("n").alias("e_"), "fd", "ft", "flo", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("part"))
     late = (F.col("d") != F.col("fd")) | (F.col("t") != F.col("ft"))
     late = late | (F.col("lo") != F.col("flo")) if within else late
-    return rows.join(found, keys).where(late).select("d", "t", (F.col("lo") + F.col("s")).alias("start"), (F.col("lo") + F.col("e_")).alias("end"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("d", "t", "lo"), F.col("g")).cast("int"))
+    marks = rows.join(found.hint("shuffle_hash"), [*keys, "part"]).where(late)
+    return marks.select("d", "t", (F.col("lo") + F.col("s")).alias("start"), (F.col("lo") + F.col("e_")).alias("end"))
 
 
 def covered(ranges: list[dict] | None, n: int, window: int) -> np.ndarray:

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 NAMES = (
-    "degrees", "edge_distance", "edge_flags", "distance_percentiles", "best_move_unconstrained", "best_move_constrained", "accept_matching", "contract",
+    "degrees", "edge_distance", "edge_flags", "distance_percentiles", "best_move_unconstrained", "best_move_constrained", "accept_moves", "contract",
     "modularity", "constraint_audit", "community_diameter", "pred_hybrid", "pred_triangle_hybrid", "nn_summary", "knn_edges",
     "louvain_pure", "louvain_plus_plus", "louvain_hybrid", "louvain_vectors", "leiden_constrained",
 )

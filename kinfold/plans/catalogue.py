@@ -209,14 +209,22 @@ deg AS (SELECT h, coalesce(sum(w), 0)::BIGINT AS k FROM asg LEFT JOIN adj ON h =
 sums AS (SELECT c, sum(k)::BIGINT AS s FROM asg JOIN deg USING (h) GROUP BY c),
 kuc AS (SELECT u, c, sum(w)::BIGINT AS w, {bad} AS violated FROM adj JOIN asg ON v = h WHERE u <> v GROUP BY ALL),
 own AS (SELECT h AS u, asg.c AS s, k, sums.s AS s_own FROM asg JOIN deg USING (h) JOIN sums USING (c)),
-offers AS (SELECT * FROM (SELECT k.u, o.s, k.c, 2 * m * (k.w - coalesce(x.w, 0)) - o.k * (t.s - o.s_own + o.k) AS gain
+offers AS (SELECT * FROM (SELECT k.u, o.s, k.c, 2 * m * (k.w - coalesce(x.w, 0)) - o.k * (t.s - o.s_own + o.k) AS gain, o.k
   FROM kuc k JOIN own o ON k.u = o.u LEFT JOIN kuc x ON x.u = o.u AND x.c = o.s JOIN sums t ON t.c = k.c, m WHERE k.c <> o.s AND NOT k.violated) WHERE gain >= 1)"""
 
 
+def _accept_sql(best: str, n: str = "", most: int = 1000) -> str:
+    """The moves of a table best that are accepted, as taken; n marks the names of one round."""
+    over = "PARTITION BY {} ORDER BY gain DESC, u"
+    return f"""crossed{n} AS (SELECT x.u FROM {best} x JOIN adj e ON e.u = x.u JOIN {best} y ON e.v = y.u WHERE (x.c = y.s OR x.s = y.c) AND (y.gain > x.gain OR y.gain = x.gain AND y.u < x.u)),
+cand{n} AS (SELECT * FROM {best} ANTI JOIN crossed{n} USING (u)),
+outs{n} AS (SELECT *, row_number() OVER ({over.format('s')}) AS rs, sum(k) OVER ({over.format('s')} ROWS UNBOUNDED PRECEDING) - k AS bs FROM cand{n}),
+ins{n} AS (SELECT *, row_number() OVER ({over.format('c')}) AS place, sum(k) OVER ({over.format('c')} ROWS UNBOUNDED PRECEDING) - k AS bc FROM outs{n} WHERE rs <= {most}),
+taken{n} AS (SELECT u, s, c, gain, k, place FROM ins{n} WHERE place <= {most} AND 2 * k * bs <= gain AND 2 * k * bc <= gain)"""
+
+
 def _chosen_sql(offers: str) -> str:
-    return f"""best AS (SELECT u, s, c, gain FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, c DESC) AS k FROM {offers}) WHERE k = 1),
-ends AS (SELECT u, gain, unnest([s, c]) AS x FROM best), firsts AS (SELECT x, first(u ORDER BY gain DESC, u) AS f FROM ends GROUP BY x),
-taken AS (SELECT b.* FROM best b JOIN firsts p ON p.x = b.s AND p.f = b.u JOIN firsts q ON q.x = b.c AND q.f = b.u)"""
+    return f"best AS (SELECT u, s, c, gain, k FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, c DESC) AS n FROM {offers}) WHERE n = 1), {_accept_sql('best')}"
 
 
 _PROUND, _UROUND = _round_sql(SQL_PARTS, "p"), _round_sql(f"{SQL_USERS}, {_UFLAG}", "u", True)
@@ -239,7 +247,7 @@ def _offers(g: G.AttributedGraph, r: float | None = None) -> DataFrame:
 def _feasible(g: G.AttributedGraph) -> DataFrame:
     offers = cut(_offers(g, R))
     membership = g.nodes.select(F.col("id").alias("h"), F.col("id").alias("node"))
-    return offers.join(M.infeasible(offers, _grouped(g), membership, g.nodes, R, P.predicate("none")), ["u", "c"], "left_anti").select("u", "s", "c", "gain")
+    return offers.join(M.infeasible(offers, _grouped(g), membership, g.nodes, R, P.predicate("none")), ["u", "c"], "left_anti").select("u", "s", "c", "gain", "k")
 
 
 @query("neighbor_comm_weight", f"WITH {_PROUND} SELECT u, c, w FROM kuc")
@@ -262,39 +270,49 @@ def community_degree_sum(spark, sf):
 
 @query("move_gain", f"WITH {_PROUND} SELECT u, s, c, gain::BIGINT AS gain FROM offers")
 def move_gain(spark, sf):
-    return _offers(parts(spark, sf))
+    return _offers(parts(spark, sf)).drop("k")
 
 
 @query("best_move_unconstrained", f"WITH {_PROUND}, {_chosen_sql('offers')} SELECT u, s, c, gain::BIGINT AS gain FROM best")
 def best_move_unconstrained(spark, sf):
-    return M.best(_offers(parts(spark, sf)))
+    return M.best(_offers(parts(spark, sf))).drop("k")
+
+
+@query("accept_moves", f"WITH {_PROUND}, {_chosen_sql('offers')} SELECT u, s, c, gain::BIGINT AS gain, place FROM taken")
+def accept_moves(spark, sf):
+    g = parts(spark, sf)
+    return M.accept(cut(M.best(_offers(g))), G.adjacency(g.edges)).drop("k")
 
 
-@query("accept_matching", f"WITH {_PROUND}, {_chosen_sql('offers')} SELECT u, s, c, gain::BIGINT AS gain FROM taken")
-def accept_matching(spark, sf):
-    return M.accept(cut(M.best(_offers(parts(spark, sf)))))
+@query("shifted_weights", f"""WITH {_PROUND}, {_chosen_sql('offers')}, after AS (SELECT h, coalesce(t.c, a.c) AS c FROM asg a LEFT JOIN taken t ON a.h = t.u)
+SELECT u, c, sum(w)::BIGINT AS w FROM adj JOIN after ON v = h WHERE u <> v GROUP BY ALL""")
+def shifted_weights(spark, sf):
+    """Weights to communities after a round, from those before it and the moves alone."""
+    g = parts(spark, sf)
+    adj, assign, _ = _setting(g)
+    return M.shifted_weights(M.neighbour_weights(adj, assign), adj, cut(M.accept(cut(M.best(_offers(g))), adj)))
 
 
 @query("apply_moves", f"WITH {_PROUND}, {_chosen_sql('offers')} SELECT h, coalesce(t.c, a.c) AS c, t.c IS NOT NULL AS moved FROM asg a LEFT JOIN taken t ON a.h = t.u")
 def apply_moves(spark, sf):
     g = parts(spark, sf)
-    return M.apply(_grouped(g), M.accept(cut(M.best(_offers(g)))))
+    return M.apply(_grouped(g), M.accept(cut(M.best(_offers(g))), G.adjacency(g.edges)))
 
 
 @query("next_active_set", f"""WITH {_PROUND}, {_chosen_sql('offers')} SELECT u AS h FROM taken UNION SELECT a.u FROM adj a JOIN taken t ON a.v = t.u""")
 def next_active_set(spark, sf):
     g = parts(spark, sf)
-    return M.next_active(cut(M.apply(_grouped(g), M.accept(cut(M.best(_offers(g)))))), G.adjacency(g.edges))
+    return M.next_active(cut(M.apply(_grouped(g), M.accept(cut(M.best(_offers(g))), G.adjacency(g.edges)))), G.adjacency(g.edges))
 
 
 @query("feasible_moves", f"WITH {_UROUND}, {_UBAD} SELECT u, s, c, gain::BIGINT AS gain FROM feas")
 def feasible_moves(spark, sf):
-    return _feasible(users(spark, sf))
+    return _feasible(users(spark, sf)).drop("k")
 
 
 @query("best_move_constrained", f"WITH {_UROUND}, {_UBAD}, {_chosen_sql('feas')} SELECT u, s, c, gain::BIGINT AS gain FROM best")
 def best_move_constrained(spark, sf):
-    return M.best(_feasible(users(spark, sf)))
+    return M.best(_feasible(users(spark, sf))).drop("k")
 
 
 @query("move_statistics", f"""WITH {_UROUND}, {_UBAD}, {_chosen_sql('feas')}
@@ -304,7 +322,7 @@ def move_statistics(spark, sf):
     offers = cut(_offers(g, R))
     membership = g.nodes.select(F.col("id").alias("h"), F.col("id").alias("node"))
     bad = cut(M.infeasible(offers, _grouped(g), membership, g.nodes, R, P.predicate("none")))
-    return M.statistics(offers, bad, M.accept(cut(M.best(offers.join(bad, ["u", "c"], "left_anti")))))
+    return M.statistics(offers, bad, M.accept(cut(M.best(offers.join(bad, ["u", "c"], "left_anti"))), G.adjacency(g.edges)))
 
 
 # Contraction.
@@ -589,21 +607,32 @@ def leiden_constrained(spark, sf):
     return _communities(g, leiden.constrained_leiden(g, 2 * R))
 
 
-def rounds_sql(n: int) -> str:
-    """n unconstrained rounds from single nodes, written out one after the other."""
+WIDE2 = 162.5  # between the whole numbers that users' squared distances are
+WIDE = WIDE2**0.5
+
+
+def rounds_sql(n: int, rr: float | None = None) -> str:
+    """n rounds from single nodes, written out one after the other; with a bound on squared distances, moves that break it are left out."""
     out = [f"{SQL_USERS}, adj AS (SELECT u, v, w FROM ue UNION ALL SELECT v, u, w FROM ue), m AS (SELECT sum(w)::BIGINT AS m FROM ue)",
            "deg AS (SELECT id AS h, coalesce(sum(w), 0)::BIGINT AS k FROM un LEFT JOIN adj ON id = u GROUP BY id)", "a0 AS (SELECT id AS h, id AS c FROM un)"]
+    if rr:
+        out.append(f"far AS (SELECT a.id AS i, b.id AS j FROM un a, un b WHERE {_d2('a.attrs', 'b.attrs')} > {rr})")
     for i in range(n):
         out += [
             f"s{i} AS (SELECT c, sum(k)::BIGINT AS s FROM a{i} JOIN deg USING (h) GROUP BY c)",
             f"k{i} AS (SELECT u, c, sum(w)::BIGINT AS w FROM adj JOIN a{i} ON v = h WHERE u <> v GROUP BY ALL)",
             f"w{i} AS (SELECT h AS u, a.c AS s, k, t.s AS so FROM a{i} a JOIN deg USING (h) JOIN s{i} t ON t.c = a.c)",
-            f"o{i} AS (SELECT * FROM (SELECT k.u, o.s, k.c, 2 * m * (k.w - coalesce(x.w, 0)) - o.k * (t.s - o.so + o.k) AS gain FROM k{i} k JOIN w{i} o ON k.u = o.u LEFT JOIN k{i} x ON x.u = o.u AND x.c = o.s JOIN s{i} t ON t.c = k.c, m WHERE k.c <> o.s) WHERE gain >= 1)",
-            f"b{i} AS (SELECT u, s, c, gain FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, c DESC) AS n FROM o{i}) WHERE n = 1)",
-            f"f{i} AS (SELECT x, first(u ORDER BY gain DESC, u) AS f FROM (SELECT u, gain, unnest([s, c]) AS x FROM b{i}) GROUP BY x)",
-            f"a{i + 1} AS (SELECT h, coalesce(t.c, a.c) AS c FROM a{i} a LEFT JOIN (SELECT b.u, b.c FROM b{i} b JOIN f{i} p ON p.x = b.s AND p.f = b.u JOIN f{i} q ON q.x = b.c AND q.f = b.u) t ON a.h = t.u)",
+            f"o{i} AS (SELECT * FROM (SELECT k.u, o.s, k.c, 2 * m * (k.w - coalesce(x.w, 0)) - o.k * (t.s - o.so + o.k) AS gain, o.k FROM k{i} k JOIN w{i} o ON k.u = o.u LEFT JOIN k{i} x ON x.u = o.u AND x.c = o.s JOIN s{i} t ON t.c = k.c, m WHERE k.c <> o.s) WHERE gain >= 1)",
         ]
-    return "WITH " + ", ".join(out) + f" SELECT h, c FROM a{n}"
+        if rr:
+            out.append(f"p{i} AS (SELECT * FROM o{i} ANTI JOIN (SELECT DISTINCT o.u, o.c FROM o{i} o JOIN a{i} a ON a.c = o.c JOIN far f ON f.i = o.u AND f.j = a.h) USING (u, c))")
+        out.append(f"b{i} AS (SELECT u, s, c, gain, k FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, c DESC) AS n FROM {'p' if rr else 'o'}{i}) WHERE n = 1)")
+        out.append(_accept_sql(f"b{i}", str(i), 16 if rr else 1000))
+        made = f"SELECT u, c FROM taken{i}"
+        if rr:
+            made += f" ANTI JOIN (SELECT x.u FROM taken{i} x JOIN taken{i} y ON x.c = y.c AND y.place < x.place JOIN far f ON f.i = x.u AND f.j = y.u) USING (u)"
+        out.append(f"a{i + 1} AS (SELECT h, coalesce(t.c, a.c) AS c FROM a{i} a LEFT JOIN ({made}) t ON a.h = t.u)")
+    return "WITH " + ", ".join(x.replace(" AS (", " AS MATERIALIZED (") for x in out) + f" SELECT h, c FROM a{n}"
 
 
 @query("louvain_rounds_4", rounds_sql(4))
@@ -613,6 +642,13 @@ def louvain_rounds_4(spark, sf):
     return louvain.local_moving(g.edges, singles, g.nodes, None, None, "sweep", max_rounds=4)[0]
 
 
+@query("louvain_rounds_constrained", rounds_sql(4, WIDE2))
+def louvain_rounds_constrained(spark, sf):
+    g = _held(users(spark, sf))
+    singles = g.nodes.select(F.col("id").alias("h"), F.col("id").alias("node"))
+    return louvain.local_moving(g.edges, singles, g.nodes, WIDE, P.predicate("none"), "sweep", max_rounds=4)[0]
+
+
 @query("results_grid")
 def results_grid(spark, sf):
     from kinfold.plans.experiment import vary_r

@@ -19,8 +19,9 @@ def constrained_leiden(
     """The best partition over the levels, as (c, node).
 
     Each level moves hypernodes to a fixpoint, then starts anew from single hypernodes and
-    merges them by at most ``sweeps`` rounds within the communities found.  Those refined
-    parts are contracted.  Self-loops and weights are kept by contraction, so that
+    merges them by at most ``sweeps`` rounds within the communities found, by moves drawn
+    in proportion to exp(rise / 2).  Those refined parts are contracted; the largest part of
+    a community keeps its name.  Self-loops and weights are kept by contraction, so that
     modularity means the same on every level.
     """
     nodes, test = prepare(g, pruning if r is not None else "none", pivots, index)
@@ -30,7 +31,7 @@ def constrained_leiden(
     best = cut(C.by_least_member(membership))
     run = Run(best, modularity(base, best, gamma).first()["q"] or 0.0)
     for level in range(max_levels):
-        assign, moved = local_moving(edges, membership, nodes, r, test, gamma=gamma, level=level, log=run.rounds)
+        assign, moved = local_moving(edges, membership, nodes, r, test, gamma=gamma, level=level, log=run.rounds, blocks=True)
         if not moved:
             break
         assign = cut(assign)
@@ -39,10 +40,12 @@ def constrained_leiden(
         if q > run.q:
             run.membership, run.q = found, q
         refined, merged = local_moving(
-            edges, membership, nodes, r, test, gamma=gamma, max_rounds=sweeps, within=assign.withColumnRenamed("c", "parent"), level=level, log=run.rounds
+            edges, membership, nodes, r, test, gamma=gamma, max_rounds=sweeps, within=assign.withColumnRenamed("c", "parent"), level=level, log=run.rounds, choice="weighted"
         )
         if not merged:
             break
-        refined = cut(refined)
+        parts = cut(refined.withColumnRenamed("c", "sub").join(assign, "h"))
+        names = C.largest_keeps_id(parts.withColumnRenamed("h", "node"))
+        refined = cut(parts.join(names, ["c", "sub"]).select("h", F.col("name").alias("c")))
         edges, membership = cut(C.contract(edges, refined)), cut(C.relabel(membership, refined))
     return run

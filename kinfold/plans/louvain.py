@@ -1,9 +1,9 @@
 """Constrained Louvain: rounds of local moving to a fixpoint, then contraction, level after level.
 
-Rounds move many hypernodes at once.  A move is made only if it ranks first among all
-that touch either of its two communities, so that no gain depends on another move,
-every community checked is the community joined, and modularity rises each round.
-The driver sees two numbers a round; all tables are cut into the shared checkpoint folder.
+A level begins with moves inside blocks, one task each; rounds over the whole graph follow.
+Rounds move many hypernodes at once, by moves.accept: modularity rises each round,
+and moves into one community are checked against each other as well as against it.
+The driver sees a few numbers a round; all tables are cut into the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from kinfold.operators import moves as M
 from kinfold.operators.index import PivotIndex
 from kinfold.operators.modularity import modularity
 from kinfold.operators.predicates import predicate
-from kinfold.plans import small
-from kinfold.sources.storage import cut
+from kinfold.plans.blocks import moved_in_blocks
+from kinfold.sources.storage import cut, discard
 
 
 @dataclass
@@ -34,7 +33,7 @@ class Run:
     rounds: list[dict] = field(default_factory=list)
 
     def metrics(self) -> DataFrame:
-        schema = "level int, round int, attempts long, blocked long, moves long, seconds double"
+        schema = "level int, round int, attempts long, blocked long, distances long, moves long, seconds double"
         return self.membership.sparkSession.createDataFrame([tuple(r.values()) for r in self.rounds], schema)
 
 
@@ -44,7 +43,7 @@ ALGORITHMS = {
     9: {"policy": "active", "pruning": "stat", "edge_flags": True},
     91: {"policy": "sweep", "pruning": "stat", "edge_flags": True},
     10: {"policy": "sweep", "pruning": "none"},
-    11: {"policy": "active", "pruning": "none"},
+    11: {"policy": "active", "pruning": "none", "choice": "first"},
     14: {"policy": "active", "pruning": "hybrid", "edge_flags": True, "feasibility_cache": True},
     15: {"policy": "active", "pruning": "triangle_hybrid", "edge_flags": True, "feasibility_cache": True},
     20: {"policy": "sweep", "r": None},
@@ -62,19 +61,18 @@ def prepare(g: G.AttributedGraph, pruning: str, pivots: int = 16, index: PivotIn
 def local_moving(
     edges: DataFrame, membership: DataFrame, nodes: DataFrame, r: float | None, test, policy: str = "active", gamma: float = 1.0,
     feasibility_cache: bool = False, max_rounds: int | None = None, within: DataFrame | None = None, level: int = 0, log: list[dict] | None = None,
-    small_edges: int = 200_000, small_values: int = 4_000_000,
+    choice: str = "best", most: int | None = None, blocks: bool = False,
 ) -> tuple[DataFrame, int]:
     """(assign, moves) once no move is left, or after max_rounds.
 
     feasibility_cache keeps pairs (u, c) found infeasible as long as c gains or loses
     no member.  within, a table (h, parent), forbids moves between different parents.
-    A level of at most small_edges edges, small_edges nodes and small_values numbers in its nodes'
-    vectors is moved in one process, by the same rule and with the same result.
+    choice: the ``best`` move of a hypernode, the ``first`` improving one, or one drawn
+    by its gain (``weighted``).  blocks: move within blocks first, one task each (see
+    plans/blocks.py); its moves count as round -1.  most: moves of one community looked at in a round, 1,000,
+    or 16 where they have to be checked against each other.
     """
-    if 0 < small_edges and edges.limit(small_edges + 1).count() <= small_edges and membership.limit(small_edges + 1).count() <= small_edges:
-        width = 1 if r is None else (nodes.select(F.size("attrs").alias("d")).first() or {"d": 0})["d"]
-        if membership.count() * width <= small_values:
-            return _move_small(edges, membership, nodes, r, policy, gamma, max_rounds, within, level, log)
+    most = most or (1000 if r is None else 16)
     hypers = membership.select("h").distinct()
     m = G.total_weight(edges)
     degree = cut(G.degrees(hypers.withColumnRenamed("h", "id"), edges).select(F.col("id").alias("h"), F.col("degree").alias("k")))
@@ -83,26 +81,48 @@ def local_moving(
         a, b = within.select(F.col("h").alias("u"), F.col("parent").alias("pu")), within.select(F.col("h").alias("v"), F.col("parent").alias("pv"))
         adj = adj.join(a, "u").join(b, "v").where("pu = pv").drop("pu", "pv")
     adj = cut(adj)
-    assign = cut(hypers.select("h", F.col("h").alias("c"), F.lit(False).alias("moved")))
     active, known, total, number = None, None, 0, 0
+    if blocks and m:
+        began = time.time()
+        settled = cut(moved_in_blocks(edges, membership, nodes, degree, m, r, gamma, choice == "first"))
+        assign = cut(settled.select("h", "c", (F.col("h") != F.col("c")).alias("moved")))
+        sums = [F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("tried", "attempts"), ("blocked", "blocked"), ("distances", "distances"))]
+        figures = settled.agg(*sums, F.count_if(F.col("h") != F.col("c")).alias("moves")).first().asDict()
+        total = figures["moves"]
+        if log is not None:
+            log.append({"level": level, "round": -1} | figures | {"seconds": time.time() - began})
+    else:
+        assign = cut(hypers.select("h", F.col("h").alias("c"), F.lit(False).alias("moved")))
     while m and (max_rounds is None or number < max_rounds):
         began = time.time()
         now = assign.select("h", "c")
         offers = M.proposals(adj, now, degree, m, gamma, active)
-        tried = blocked = 0
+        figures = {"attempts": 0, "blocked": 0, "distances": 0}
+        tables = []
         if r is not None:
             if known is not None:
                 offers = offers.join(known, ["u", "c"], "left_anti")
             offers = cut(offers)
-            bad = cut(M.infeasible(offers, now, membership, nodes, r, test))
-            tried, blocked = offers.count(), bad.count()
+            tried = cut(M.feasibility(offers, now, membership, nodes, r, test))
+            tables += [offers, tried]
+            bad = tried.where("bad").select("u", "c")
+            figures = tried.agg(F.count("*").alias("attempts"), F.count_if("bad").alias("blocked"), F.coalesce(F.sum("exact"), F.lit(0)).alias("distances")).first().asDict()
             if feasibility_cache:
                 known = bad if known is None else known.union(bad)
             offers = offers.join(bad, ["u", "c"], "left_anti")
-        accepted = cut(M.accept(M.best(offers)))
-        moved = accepted.count()
+        chosen = M.weighted(offers, m, number) if choice == "weighted" else M.first_improving(offers, number) if choice == "first" else M.best(offers)
+        chosen = cut(chosen)
+        accepted = M.accept(chosen, adj, most)
+        tables.append(chosen)
+        if r is not None:
+            accepted = cut(accepted)
+            tables.append(accepted)
+            if not accepted.where("place > 1").isEmpty():
+                accepted = accepted.join(M.clashing(accepted, membership, nodes, r, test), "u", "left_anti")
+        after = cut(M.apply(now, accepted))
+        moved = after.where("moved").count()
         if log is not None:
-            log.append({"level": level, "round": number, "attempts": tried, "blocked": blocked, "moves": moved, "seconds": time.time() - began})
+            log.append({"level": level, "round": number} | figures | {"moves": moved, "seconds": time.time() - began})
         number += 1
         if not moved:
             if active is None:
@@ -110,40 +130,32 @@ def local_moving(
             active = None  # the queue has run dry: one look at all nodes ends the level, or finds more
             continue
         total += moved
-        assign = cut(M.apply(now, accepted))
+        old, assign = (assign, active, known), after
+        if policy == "active" or known is not None:
+            changed = assign.where("moved").select(F.col("h"), F.col("c")).join(now.select("h", F.col("c").alias("s")), "h")
+            touched = cut(changed.select(F.explode(F.array("s", "c")).alias("c")).distinct())
+            tables.append(touched)
         if policy == "active":
             # A community that changed opens or shuts moves for all its neighbours, not only the moved node's.
-            touched = accepted.select(F.explode(F.array("s", "c")).alias("c")).distinct()
             inside = assign.join(touched, "c", "left_semi").select("h")
             near = adj.join(inside.withColumnRenamed("h", "v"), "v", "left_semi").select(F.col("u").alias("h"))
             active = cut(inside.union(near).distinct())
         if known is not None:
-            gone = accepted.select(F.explode(F.array("s", "c")).alias("c")).distinct()
-            known = cut(known.join(gone, "c", "left_anti"))
+            known = cut(known.join(touched, "c", "left_anti"))
+        discard(*tables, *old)
+    discard(adj, degree)
     return assign.select("h", "c"), total
 
 
-def _move_small(edges, membership, nodes, r, policy, gamma, max_rounds, within, level, log) -> tuple[DataFrame, int]:
-    bad = F.col("flag") == "violated" if "flag" in edges.columns else F.lit(False)
-    links = [tuple(x) for x in edges.select("u", "v", "w", bad.alias("bad")).collect()]
-    rows = membership.select("h").distinct().collect() if r is None else membership.join(nodes.select(F.col("id").alias("node"), "attrs"), "node").select("h", "attrs").collect()
-    held: dict[int, list] = {}
-    for x in rows:
-        held.setdefault(x["h"], []).append([] if r is None else x["attrs"])
-    parent = None if within is None else {x["h"]: x["parent"] for x in within.collect()}
-    found, total = small.rounds(links, {h: np.array(v, float) for h, v in sorted(held.items())}, r, policy, gamma, max_rounds, parent, level, log)
-    return edges.sparkSession.createDataFrame(list(found.items()), "h long, c long"), total
-
-
 def constrained_louvain(
     g: G.AttributedGraph, r: float | None, policy: str = "active", pruning: str = "none", edge_flags: bool = False, feasibility_cache: bool = False,
-    gamma: float = 1.0, pivots: int = 16, index: PivotIndex | None = None, max_rounds: int | None = None, max_levels: int | None = None, small_edges: int = 200_000,
+    gamma: float = 1.0, pivots: int = 16, index: PivotIndex | None = None, max_rounds: int | None = None, max_levels: int | None = None, choice: str = "best", blocks: bool = True,
 ) -> Run:
     """A partition of high modularity in which no two nodes of a community lie farther apart than r (None: no constraint).
 
     Multi-edges are summed.  Nodes without edges stay alone.  policy: ``sweep`` looks at
     all hypernodes each round, ``active`` at those near the last moves.  edge_flags rules
-    out communities by violated edges before any pair of nodes is looked at.
+    out communities by violated edges before any pair of nodes is looked at.  choice and blocks: see local_moving.
     """
     nodes, test = prepare(g, pruning if r is not None else "none", pivots, index)
     nodes = cut(nodes)
@@ -153,7 +165,7 @@ def constrained_louvain(
     log: list[dict] = []
     level = 0
     while True:
-        assign, moved = local_moving(edges, membership, nodes, r, test, policy, gamma, feasibility_cache, max_rounds, level=level, log=log, small_edges=small_edges)
+        assign, moved = local_moving(edges, membership, nodes, r, test, policy, gamma, feasibility_cache, max_rounds, level=level, log=log, choice=choice, blocks=blocks)
         if not moved:
             break
         assign = cut(assign)

@@ -11,8 +11,9 @@ from kinfold.operators import contract as C
 from kinfold.operators import graph as G
 from kinfold.operators import index as I
 from kinfold.operators import modularity as Q
+from kinfold.operators import moves as M
 from kinfold.operators import predicates as P
-from kinfold.plans import leiden, louvain
+from kinfold.plans import blocks, leiden, louvain
 from kinfold.sources import text as X
 
 NODES = [[1, 2, 3, 4, 5], [5, 4, 3, 2, 1], [1, 4, 3, 5, 2], [2, 3, 4, 5, 1]]
@@ -91,17 +92,70 @@ def test_predicates_agree_with_the_exact_one(spark, signed):
             assert wrong.isEmpty(), (kind, rr)
 
 
-def test_runs_keep_the_constraint_and_distributed_rounds_equal_small_ones(spark):
+def test_runs_keep_the_constraint(spark):
     nodes, edges = random_graph(5)
     g = graph(spark, nodes, edges)
     r = 6.1
-    for settings in (louvain.ALGORITHMS[10], louvain.ALGORITHMS[8]):
-        a = louvain.constrained_louvain(g, **({"r": r} | settings))
-        b = louvain.constrained_louvain(g, **({"r": r} | settings), small_edges=0)
-        assert groups(a.membership) == groups(b.membership)
-        assert [x["moves"] for x in a.rounds] == [x["moves"] for x in b.rounds]
+    for code in (8, 10, 11):
+        a = louvain.constrained_louvain(g, **({"r": r} | louvain.ALGORITHMS[code]))
         assert Q.audit(a.membership, g.nodes, r).where("violations > 0").isEmpty()
         assert a.q == pytest.approx(Q.modularity(g.edges, a.membership).first()[0])
+        assert a.q > 0
+        assert sum(x["distances"] for x in a.rounds) >= sum(x["blocked"] for x in a.rounds) * (code != 8)
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 60])
+@pytest.mark.parametrize("r", [None, 6.1])
+def test_blocks_and_rounds_leave_no_move(spark, monkeypatch, r, bound):
+    """One block or several, or none: the constraint holds, the score is right, and no single move is left."""
+    monkeypatch.setattr(blocks, "BLOCK", bound)
+    nodes, edges = random_graph(21, n=30, m=120)
+    g = graph(spark, nodes, edges)
+    singles = g.nodes.select(F.col("id").alias("h"), F.col("id").alias("node"))
+    test = P.predicate("none")
+    for use in (True, False):
+        log = []
+        assign, moves = louvain.local_moving(g.edges, singles, g.nodes, r, test, blocks=use, log=log)
+        assert moves >= sum(x["moves"] for x in log) > 0
+        degree = G.degrees(g.nodes, g.edges).select(F.col("id").alias("h"), F.col("degree").alias("k"))
+        left = M.proposals(G.adjacency(g.edges), assign, degree, len(edges))
+        if r:
+            assert Q.audit(assign.withColumnRenamed("h", "node"), g.nodes, r).where("violations > 0").isEmpty()
+            left = left.join(M.infeasible(left, assign, singles, g.nodes, r, test), ["u", "c"], "left_anti")
+        assert left.isEmpty()
+
+
+@pytest.mark.parametrize("r", [None, 6.1])
+def test_modularity_rises_with_every_round(spark, r):
+    nodes, edges = random_graph(11, n=40, m=160)
+    g = graph(spark, nodes, edges)
+    singles = g.nodes.select(F.col("id").alias("h"), F.col("id").alias("node"))
+    scores, joined = [], 0
+    for rounds in range(5):
+        assign, _ = louvain.local_moving(g.edges, singles, g.nodes, r, P.predicate("none"), "sweep", max_rounds=rounds)
+        part = assign.select(F.col("h").alias("node"), "c")
+        scores.append(Q.modularity(g.edges, part).first()[0])
+        if r:
+            assert Q.audit(part, g.nodes, r).where("violations > 0").isEmpty()
+        joined = max(joined, part.groupBy("c").count().agg(F.max("count")).first()[0])
+    assert scores == sorted(scores)
+    assert scores[2] > scores[0]
+    assert joined > 2
+
+
+def test_weighted_choice_follows_the_gains(spark):
+    moves = spark.range(4000).select(F.col("id").alias("u"), F.lit(0).alias("s"), F.explode(F.array(F.lit(1), F.lit(2))).alias("c"), F.lit(1).alias("k")).withColumn("gain", F.when(F.col("c") == 1, 4).otherwise(0))
+    m = 1
+    share = M.weighted(moves, m, 3).where("c = 1").count() / 4000
+    want = 1 / (1 + 2.718281828 ** (-0.5 * 4 / 2))
+    assert abs(share - want) < 0.03
+    assert M.first_improving(moves).count() == 4000
+
+
+def test_free_runs(spark):
+    nodes, edges = random_graph(5)
+    g = graph(spark, nodes, edges)
+    r = 6.1
     free = louvain.constrained_louvain(g, None)
     wide = louvain.constrained_louvain(g, 1e6)
     assert groups(free.membership) == groups(wide.membership)

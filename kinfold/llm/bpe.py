@@ -55,7 +55,7 @@ def byte_symbols() -> dict[str, int]:
 class WordBpe:
     """Encoder and decoder for a vocabulary file of words with an end mark (JSON text of the file)."""
 
-    def __init__(self, spec: str, cache: int = 500_000):
+    def __init__(self, spec: str, cache: int = 200_000, pairs: int = 1_000_000):
         data = json.loads(spec)
         model, pre = data["model"], data["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in data["normalizer"]["normalizers"]]
@@ -93,7 +93,7 @@ class WordBpe:
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.cache = cache
+        self.cache, self.pairs = cache, pairs
         self.known = np.empty(0, np.int64)  # pairs checked so far, in order
         self.fits = np.empty(0, bool)
         self.failed = 0  # words merged exactly
@@ -170,7 +170,7 @@ class WordBpe:
         pairs = np.unique(keys[follow != -2])
         at = np.searchsorted(self.known, pairs)
         new = pairs[(at >= len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != pairs)] if len(self.known) else pairs
-        if len(self.known) + len(new) > self.cache:
+        if len(self.known) + len(new) > self.pairs:
             self.known, self.fits, new = np.empty(0, np.int64), np.empty(0, bool), pairs
         if len(new):
             fits = np.fromiter((self.stands(int(k) >> 20, (int(k) & 0xFFFFF) - 2) for k in new), bool, len(new))

@@ -41,7 +41,9 @@ UNKNOWN = (
 #: Capitals of Unicode 16.0 and 17.0 with their small letters, which the library lowers.
 LATER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LATER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_RARE = re.compile("[\u0558-\U0003ffff]")  # holds all of UNKNOWN and LATER
+#: Those of both within the basic plane, and whatever lies beyond it: searches that are quick.
+_RARE = re.compile("[" + UNKNOWN[: UNKNOWN.index("\U000107bb")] + "".join(chr(c) for c in LATER if c < 0x10000) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _UNKNOWN = regex.compile(f"[{UNKNOWN}]")
 
 
@@ -201,8 +203,12 @@ class WordBpe:
 
     def words_of(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if text.isascii() or not _RARE.search(text):
+        try:
+            text.encode("latin-1")
             return self.pattern.findall(text)
+        except UnicodeEncodeError:
+            if not _RARE.search(text) and not _BEYOND.search(text):
+                return self.pattern.findall(text)
         text = text.translate(LATER)
         return (self.careful if _UNKNOWN.search(text) else self.pattern).findall(text)
 

@@ -57,7 +57,7 @@ def byte_symbols() -> dict[str, int]:
 class WordBpe:
     """Encoder and decoder for a vocabulary file of words with an end mark (JSON text of the file)."""
 
-    def __init__(self, spec: str, cache: int = 200_000, pairs: int = 1_000_000):
+    def __init__(self, spec: str, cache: int = 500_000, pairs: int = 1_000_000):
         data = json.loads(spec)
         model, pre = data["model"], data["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in data["normalizer"]["normalizers"]]
@@ -244,20 +244,20 @@ class WordBpe:
         return " ".join([t for i in ids if (t := get(i)) is not None])
 
 
-_MODELS: dict[int, WordBpe] = {}
+_MODELS: dict[tuple[int, int], WordBpe] = {}
 
 
-def model_of(spec: str) -> WordBpe:
+def model_of(spec: str, cache: int = 500_000) -> WordBpe:
     """The encoder of a vocabulary, with the words it has met; a worker process keeps it from task to task."""
-    key = hash(spec)
+    key = hash(spec), cache
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = WordBpe(spec)
+        _MODELS[key] = WordBpe(spec, cache)
     return _MODELS[key]
 
 
-def encode(df: DataFrame, spec_path: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """df with the token ids of text_col, an array of int.
+def encode(df: DataFrame, spec_path: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, cache: int = 500_000) -> DataFrame:
+    """df with the token ids of text_col, an array of int; a worker process keeps the tokens of ``cache`` words at most.
 
     A null or empty text has no ids.  The vocabulary is read on the driver
     (spec_path is a local file there) and sent along; it has the size of the file.
@@ -266,7 +266,7 @@ def encode(df: DataFrame, spec_path: str, text_col: str = "text", out: str = "id
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        bpe = model_of(spec.value)
+        bpe = model_of(spec.value, cache)
 
         def fn(texts: pa.Array) -> list:
             flat, sizes = bpe.encode_batch(texts.to_pylist())

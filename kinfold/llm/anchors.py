@@ -58,11 +58,17 @@ class Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start])
 
+    def runs(self, length: int) -> np.ndarray:
+        """Of all runs of ``length`` items, from each item on."""
+        h = self.sums[length:] - self.sums[:-length]
+        h *= powers(self.inverse, len(h))
+        return mix(h)
+
 
 def contexts(x: np.ndarray, starts: np.ndarray, window: int, anchor: int, both: bool = True, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
     """Contexts of texts that lie one after the other in x, each from its start on (starts ends with len(x)).
 
-    Of each: its text, the anchor's hash, two hashes of the content (the second only if ``both``), its first window in the text, number of windows.
+    Of each: its text, the anchor's hash, two hashes of the content (only if ``both``, else the anchor's), its first window in the text, number of windows.
     """
     none = np.empty(0, np.int64)
     parts = []
@@ -72,27 +78,34 @@ def contexts(x: np.ndarray, starts: np.ndarray, window: int, anchor: int, both:
         if n <= 0:
             break
         hashes = Hashes(part)
-        begin = np.arange(len(part) - anchor + 1)
-        h = hashes.of(begin, begin + anchor)
-        low = np.uint64((1 << 24) - 1)
-        least, size, span = (h & ~low) | begin.astype(np.uint64), 1, window - anchor + 1
+        h = hashes.runs(anchor)
+        low, span = np.uint64((1 << 24) - 1), window - anchor + 1
+        least, size = h & ~low, 1
+        least |= np.arange(len(h), dtype=np.uint64)
         while size * 2 <= span:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
         least = np.minimum(least[:n], least[span - size : span - size + n])
-        where = (least & low).astype(np.int64)
-        text = np.searchsorted(starts, np.arange(at, at + n), side="right") - 1 if len(starts) > 2 else np.zeros(n, np.int64)
-        whole = np.arange(at, at + n) + window <= starts[text + 1]  # the window lies in one text
-        edge = whole != np.concatenate([[False], whole[:-1]])
-        edge[1:] |= whole[1:] & ((where[1:] != where[:-1]) | (text[1:] != text[:-1]))
+        least &= low
+        where = least.view(np.int64)
+        a, b = np.searchsorted(starts, [at, at + n - 1], side="right") - 1
+        cuts = starts[a : b + 2].clip(at, at + n) - at
+        whole = np.arange(n) <= np.repeat(starts[a + 1 : b + 2] - window - at, np.diff(cuts))  # the window lies in one text
+        edge = np.zeros(n, bool)
+        edge[cuts[(cuts > 0) & (cuts < n)]] = True
+        edge[1:] |= where[1:] != where[:-1]
+        edge &= whole
+        edge |= whole != np.concatenate([[False], whole[:-1]])
         edge = np.flatnonzero(edge)
         count = np.diff(np.append(edge, n))
         lo, count = edge[whole[edge]], count[whole[edge]]
-        q, text = where[lo], text[lo]
-        shape = count.astype(np.uint64) * np.uint64(BASE) + (q - lo).astype(np.uint64)
-        content = mix(hashes.of(lo, lo + count + window - 1) + shape)
-        other = mix(Hashes(part, OTHER).of(lo, lo + count + window - 1) + shape) if both else content
-        parts.append((text, h[q], content, other, lo + at - starts[text], count))
+        q, text = where[lo], np.searchsorted(starts, lo + at, side="right") - 1
+        content = other = key = h[q]
+        if both:
+            shape = count.astype(np.uint64) * np.uint64(BASE) + (q - lo).astype(np.uint64)
+            content = mix(hashes.of(lo, lo + count + window - 1) + shape)
+            other = mix(Hashes(part, OTHER).of(lo, lo + count + window - 1) + shape)
+        parts.append((text, key, content, other, lo + at - starts[text], count))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, *[none.astype(np.uint64)] * 3, none, none)
 
 
@@ -160,7 +173,7 @@ def repeated_windows(
 
     def scan(both: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, 500, 1 << 18):
+            for part in slices(batches, 500, 1 << 17):
                 text, a, c, e, start, count = contexts(*items(*text_bytes(part.column(part.num_columns - 1))), window, anchor, both)
                 hashes = [pa.array(x.view(np.int64)) for x in (a, c, e)]
                 if not both:

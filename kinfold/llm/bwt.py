@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cross documents.  Null and empty texts keep no byte.  A null id is smaller than all others.
     """
     base, once = keyed(docs, id_col, text_col)
-    found = repeated_windows(once, byte_items, resolve, WINDOW, ANCHOR, within=True, body=raw_bytes)
+    found = repeated_windows(once, byte_items, resolve, WINDOW, ANCHOR, within=True, batch_bytes=1 << 18, body=raw_bytes)
     whole = base.join(found.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "ranges")
     out = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
 

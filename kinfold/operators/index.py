@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import vectors as V
+from kinfold.sources.text import file_name
 
 #: Most numbers in the pivots sent with an expression (k times dimension).
 MOST_VALUES = 2_000_000
@@ -50,7 +53,7 @@ class PivotIndex:
         return [sum((x - y) ** 2 for x, y in zip(p, q, strict=True)) for p in self.pivots for q in self.pivots]
 
     def distances(self, attrs: Column) -> Column:
-        every = F.array(*[F.array(*map(F.lit, p)) for p in self.pivots])
+        every = F.from_json(F.lit(json.dumps(self.pivots)), "array<array<double>>")  # one literal, folded before the query runs
         return F.transform(every, lambda p: V.sq_dist(attrs, p))
 
     def attach(self, nodes: DataFrame) -> DataFrame:
@@ -59,23 +62,45 @@ class PivotIndex:
         return with_d.withColumn("pivot", (F.array_position("d2s", F.array_min("d2s")) - 1).cast("int"))
 
     def save(self, spark: SparkSession, path: str, nodes: DataFrame, **meta: object) -> None:
-        """Pivots and attached nodes as Parquet, with what the index was built from."""
-        self.attach(nodes).write.parquet(f"{path}/point_pivot")
-        spark.createDataFrame(list(enumerate(self.pivots)), "pivot int, attrs array<double>").write.parquet(f"{path}/pivots")
-        row = {"k": len(self.pivots), "fingerprint": fingerprint(nodes), **meta}
-        spark.createDataFrame([{k: str(v) for k, v in row.items()}]).write.json(f"{path}/meta")
+        """Pivots and attached nodes as Parquet, with what the index was built from; what is at path is replaced."""
+        self.attach(nodes).write.mode("overwrite").parquet(f"{path}/point_pivot")
+        spark.createDataFrame(list(enumerate(self.pivots)), "pivot int, attrs array<double>").write.mode("overwrite").parquet(f"{path}/pivots")
+        row = described(nodes) | {"k": len(self.pivots)} | meta
+        spark.createDataFrame([{k: str(v) for k, v in row.items()}]).write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, nodes: DataFrame) -> PivotIndex:
-        """The index at path; ValueError if it was built from other nodes."""
-        if spark.read.json(f"{path}/meta").first()["fingerprint"] != str(fingerprint(nodes)):
-            raise ValueError("the index was built from other nodes")
+    def load(cls, spark: SparkSession, path: str, nodes: DataFrame, **meta: object) -> PivotIndex:
+        """The index at path; ValueError if it was built from other nodes or, as far as they are given here, with other parameters."""
+        have = spark.read.json(f"{path}/meta").first().asDict()
+        unlike = [k for k, v in (described(nodes) | meta).items() if have.get(k) != str(v)]
+        if unlike:
+            raise ValueError("the index was built with another " + ", ".join(unlike))
         return cls.from_pivots(spark.read.parquet(f"{path}/pivots"))
 
+    @classmethod
+    def built(cls, spark: SparkSession, folder: str, name: str, nodes: DataFrame, k: int = 200, max_iter: int = 8) -> PivotIndex:
+        """The index kept in folder for these nodes and parameters; where there is none that fits, it is fitted and kept."""
+        about = described(nodes)
+        path = f"{folder}/" + file_name(name, f"k{k}", f"n{about['n']}", f"d{about['d']}", f"iter{max_iter}")
+        asked = {"asked": k, "max_iter": max_iter}
+        try:
+            return cls.load(spark, path, nodes, **asked)
+        except (AnalysisException, ValueError):  # none there, or one of other nodes
+            index = cls.fit(nodes, k, max_iter)
+            index.save(spark, path, nodes, **asked)
+            return index
+
 
 def fingerprint(nodes: DataFrame) -> int:
     """A sum over the rows' hashes: equal for equal content in any order."""
-    return nodes.agg(F.coalesce(F.sum(F.xxhash64("id", "attrs") % (1 << 40)), F.lit(0)).alias("f")).first()["f"]
+    return described(nodes)["fingerprint"]
+
+
+def described(nodes: DataFrame) -> dict[str, int]:
+    """The number of nodes, the largest dimension, and the fingerprint of the content."""
+    hashes = F.sum(F.xxhash64("id", "attrs") % (1 << 40))
+    row = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("attrs")), F.lit(0)).alias("d"), F.coalesce(hashes, F.lit(0)).alias("fingerprint")).first()
+    return row.asDict()
 
 
 def centroids(assigned: DataFrame) -> DataFrame:

@@ -30,10 +30,13 @@ def read_nodes(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
     return rows.where(F.size("attrs") > 0) if tolerant else rows
 
 
-def read_edges(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """(u, v, w): w is 1; more tokens are ignored.  Malformed lines have null ends, or are left out by tolerant reading."""
+def read_edges(spark: SparkSession, path: str, tolerant: bool = False, first: int = 0) -> DataFrame:
+    """(u, v, w): w is 1; more tokens are ignored.  Malformed lines have null ends, or are left out by tolerant reading.
+
+    Node numbers in the file start at ``first``; those read start at 0.
+    """
     t = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(F.get(t, 0).try_cast("long").alias("u"), F.get(t, 1).try_cast("long").alias("v"), F.lit(1).cast("long").alias("w"), F.size(t).alias("n"))
+    rows = spark.read.text(path).select((F.get(t, 0).try_cast("long") - first).alias("u"), (F.get(t, 1).try_cast("long") - first).alias("v"), F.lit(1).cast("long").alias("w"), F.size(t).alias("n"))
     if tolerant:
         rows = rows.where((F.col("n") == 2) & F.col("u").isNotNull() & F.col("v").isNotNull())
     return rows.drop("n")
@@ -45,6 +48,16 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", F.lit(1).cast("long"))
 
 
+def remove_self_loops(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Write the lines of an edge file that don't join a node to itself; (lines, self_loops) of the file and (remaining) of what was written."""
+    t = F.split(F.trim("value"), r"\s+")
+    loop = F.coalesce(F.get(t, 0) == F.get(t, 1), F.lit(False))
+    lines = spark.read.text(path)
+    lines.where(~loop).write.text(out)
+    remaining = spark.read.text(out).agg(F.count_if(loop).alias("remaining"))
+    return lines.agg(F.count("*").alias("lines"), F.count_if(loop).alias("self_loops")).join(remaining)
+
+
 def read_graph(spark: SparkSession, folder: str, tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
     return read_nodes(spark, os.path.join(folder, "nodes.txt"), tolerant), read_edges(spark, os.path.join(folder, "edges.txt"), tolerant)
 
@@ -88,8 +101,32 @@ LOG_METRICS = {
 
 
 def log_metrics(lines: DataFrame) -> DataFrame:
-    """One row for each run of (run, value): the metrics of its log, null where the log has none."""
+    """One row for each run of (run, line, value): the metrics of its log, null where the log has none.
+
+    A log that repeats a metric counts with its first value, the main time with its last.
+    """
+    def of(name: str, pattern: str) -> Column:
+        pick = F.max_by if name == "main_seconds" else F.min_by
+        found = F.col("value").rlike(pattern)
+        return pick(F.when(found, F.regexp_extract("value", pattern, 1).try_cast("double")), F.when(found, F.col("line")))
+
+    return lines.groupBy("run").agg(*[of(k, p).alias(k) for k, p in LOG_METRICS.items()])
+
+
+#: How a run's log gives the largest distances in communities.
+COMMUNITY_MAXIMUM = r"Community \d+: .*? Max distance = ([\d.]+)"
+GLOBAL_MAXIMUM = r"Global maximum distance: ([\d.]+)"
+AVERAGE_MAXIMUM = r"Average max distance per community: ([\d.]+)"
+
+
+def community_maxima(lines: DataFrame) -> DataFrame:
+    """One row for each run of (run, line, value) whose log lists communities: their number, the largest, mean and smallest of their maxima, and the log's own two figures, the last of each."""
     def of(pattern: str) -> Column:
-        return F.max(F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1).try_cast("double")))
+        return F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1).try_cast("double"))
+
+    def last(pattern: str) -> Column:
+        return F.max_by(of(pattern), F.when(F.col("value").rlike(pattern), F.col("line")))
 
-    return lines.groupBy("run").agg(*[of(p).alias(k) for k, p in LOG_METRICS.items()])
+    each = of(COMMUNITY_MAXIMUM)
+    figures = [F.count(each).alias("communities"), F.max(each).alias("largest"), F.avg(each).alias("mean"), F.min(each).alias("smallest")]
+    return lines.groupBy("run").agg(*figures, last(GLOBAL_MAXIMUM).alias("global_max"), last(AVERAGE_MAXIMUM).alias("average_max")).where("communities > 0")

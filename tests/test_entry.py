@@ -16,7 +16,7 @@ def test_registry():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["node_stats", "graph_validate", "edge_flags", "move_gain", "best_move_constrained", "accept_moves", "shifted_weights", "louvain_rounds_constrained", "contract_flags", "modularity", "community_diameter", "pred_hybrid", "cluster_medoids", "distortion", "dataset_profile", "log_metrics", "louvain_rounds_4"])
+@pytest.mark.parametrize("name", ["node_stats", "graph_validate", "edge_flags", "move_gain", "best_move_constrained", "accept_moves", "shifted_weights", "louvain_rounds_constrained", "contract_flags", "modularity", "community_diameter", "pred_hybrid", "cluster_medoids", "distortion", "dataset_profile", "log_metrics", "community_maxima", "point_pivot", "pred_hybrid_kmeans", "louvain_rounds_4"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -198,3 +198,26 @@ def test_index_round_trip(spark, tmp_path):
     assert I.PivotIndex.load(spark, str(tmp_path / "index"), g.nodes) == index
     with pytest.raises(ValueError):
         I.PivotIndex.load(spark, str(tmp_path / "index"), g.nodes.limit(5))
+    kept = I.PivotIndex.built(spark, str(tmp_path), "a/b c", g.nodes, 4, 5)
+    assert I.PivotIndex.built(spark, str(tmp_path), "a/b c", g.nodes, 4, 5) == kept
+    path = str(next(p for p in tmp_path.iterdir() if p.name.startswith("a_b_c_k4_")))
+    for other in ({"max_iter": 6}, {"asked": 5}):
+        with pytest.raises(ValueError):
+            I.PivotIndex.load(spark, path, g.nodes, **other)
+    moved = g.nodes.withColumn("attrs", F.transform("attrs", lambda x: x + 1))
+    assert I.PivotIndex.built(spark, str(tmp_path), "a/b c", moved, 4, 5) != kept
+
+
+def test_files_with_loops_and_numbers_from_one(spark, tmp_path):
+    (tmp_path / "edges.txt").write_text("1 2\n2 2\n\nx 3\n3 1\n")
+    path = str(tmp_path / "edges.txt")
+    assert {(r["u"], r["v"]) for r in X.read_edges(spark, path, tolerant=True, first=1).collect()} == {(0, 1), (1, 1), (2, 0)}
+    assert X.remove_self_loops(spark, path, str(tmp_path / "clean")).first().asDict() == {"lines": 5, "self_loops": 1, "remaining": 0}
+
+
+def test_logs_with_repeated_metrics(spark):
+    lines = ["Main algorithm time: 2", "Modularity: 0.5", "Main algorithm time: 1", "Modularity: 0.75", "Community 3: 2 nodes, Max distance = 1.5", "Global maximum distance: 1.5"]
+    logs = spark.createDataFrame([(1, i, v) for i, v in enumerate(lines)] + [(2, 0, "none")], "run int, line int, value string")
+    got = {r["run"]: r for r in X.log_metrics(logs).collect()}
+    assert (got[1]["main_seconds"], got[1]["modularity"], got[2]["modularity"]) == (1.0, 0.5, None)
+    assert [tuple(r) for r in X.community_maxima(logs).collect()] == [(1, 1, 1.5, 1.5, 1.5, 1.5, None)]

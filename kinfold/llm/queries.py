@@ -59,17 +59,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Items are probed first by the shingles they share with any document; every pair that shares one is then counted exactly.
+#: Items of fewer than five words have one shingle of all their words, and documents have shingles of every such width too.
 OP2_SQL = r"""
 WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 items AS (
   SELECT DISTINCT item_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
   FROM item_words, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0
 ), sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+widths AS (SELECT DISTINCT least(5, len(w)) AS k FROM item_words WHERE len(w) > 0),
 doc_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
 shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM doc_words, unnest(range(1, greatest(len(w) - 3, 1))) t(i)
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM doc_words, widths, unnest(range(1, greatest(len(w) - k + 2, 1))) t(i)
 ), pairs AS (
   SELECT doc_id, item_id, count(*) AS shared FROM shingles JOIN items USING (s) GROUP BY ALL
 ), hits AS (

@@ -163,6 +163,21 @@ def test_decontamination(spark):
     assert decontam.contained(docs.limit(0), items).isEmpty()
 
 
+def test_short_items_in_query_and_sql(spark, tmp_path):
+    import duckdb
+
+    long = prose(30, 50)
+    docs = [(1, "a b one two three z"), (2, "one two"), (3, None), (4, ""), (5, prose(40, 1) + " " + long), (6, "two")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "One, two THREE"), (8, None), (9, ""), (10, long), (11, "two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r) for r in queries.op2_decontamination(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.OP2_SQL).fetchall())
+    assert {r[0]: r[3] for r in got} == {1: "7,11", 2: "11", 3: "", 4: "", 5: "10", 6: "11"}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 16)).round(3)

@@ -221,3 +221,13 @@ def test_logs_with_repeated_metrics(spark):
     got = {r["run"]: r for r in X.log_metrics(logs).collect()}
     assert (got[1]["main_seconds"], got[1]["modularity"], got[2]["modularity"]) == (1.0, 0.5, None)
     assert [tuple(r) for r in X.community_maxima(logs).collect()] == [(1, 1, 1.5, 1.5, 1.5, 1.5, None)]
+
+
+def test_small_gains_of_heavy_graphs_are_moves(spark):
+    """A gain of 1 where 2e-10 of the squared weight is 2: SQL has it, and so do the proposals."""
+    edges = spark.createDataFrame([(0, 1, 100_000), (1, 2, 1)], "u long, v long, w long")
+    assign = spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "h long, c long")
+    degree = G.degrees(spark.range(3), edges).select(F.col("id").alias("h"), F.col("degree").alias("k"))
+    got = [tuple(r) for r in M.proposals(G.adjacency(edges), assign, degree, 100_001).collect()]
+    assert got == [(2, 2, 0, 1, 1)]
+    assert M.proposals(G.adjacency(edges), assign, degree, 100_001, rise=1e-10).isEmpty()

@@ -231,3 +231,37 @@ def test_small_gains_of_heavy_graphs_are_moves(spark):
     got = [tuple(r) for r in M.proposals(G.adjacency(edges), assign, degree, 100_001).collect()]
     assert got == [(2, 2, 0, 1, 1)]
     assert M.proposals(G.adjacency(edges), assign, degree, 100_001, rise=1e-10).isEmpty()
+
+
+def test_a_run_of_one_block_needs_no_rounds_and_keeps_the_constraint(spark):
+    nodes, edges = random_graph(5)
+    g = graph(spark, nodes * 3, edges + [(a, a + 14) for a in range(28)])
+    for settings in (louvain.ALGORITHMS[14], louvain.ALGORITHMS[20]):
+        run = louvain.constrained_louvain(g, **({"r": 6.1, "index": I.PivotIndex(nodes[:3])} | settings))
+        assert {x["round"] for x in run.rounds} == {-1}
+        assert run.rounds[-1]["moves"] == 0 < run.rounds[0]["moves"]
+        if settings.get("r", 1):
+            assert Q.audit(run.membership, g.nodes, 6.1).where("violations > 0").isEmpty()
+        far = {r["c"]: r["diameter"] for r in Q.diameters(run.membership, g.nodes).collect()}
+        held = groups(run.membership)
+        want = {c[0]: max(sum((x - y) ** 2 for x, y in zip((nodes * 3)[i], (nodes * 3)[j], strict=True)) ** 0.5 for i in c for j in c) for c in held}
+        assert far == pytest.approx(want)
+    parts = Q.farthest_candidates(spark.range(42).select(F.col("id").alias("node"), F.lit(0).alias("c")), g.nodes)
+    assert parts.count() <= 14
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_bounds_of_blocks_agree_with_exact_distances(spark, signed):
+    import numpy as np
+
+    nodes, _ = random_graph(3, signed=signed)
+    index = I.PivotIndex(nodes[:3])
+    x = index.attach(G.node_stats(graph(spark, nodes, []).nodes)).orderBy("id").toPandas()
+    exact = ((np.array(nodes)[:, None] - np.array(nodes)) ** 2).sum(axis=2)
+    for kind in ("none", "stat", "bipolar", "triangle", "centroid", "hybrid", "triangle_hybrid", "both"):
+        test = P.predicate(kind, index.table())
+        for rr in (0.0, 16.5, 30.0, 90.0):
+            pairs = blocks.Pairs(x, test.steps, test.table, rr)
+            for i, j in itertools.product(range(len(nodes)), repeat=2):
+                assert (pairs.far(pairs.of[[i]], pairs.of[[j]]) >= 0) == (exact[i, j] > rr), (kind, rr, i, j)
+            assert pairs.distances <= len(nodes) ** 2

@@ -229,6 +229,32 @@ def test_recall_over_many_lists(spark, monkeypatch, levels):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["tight", "apart", "far"])
+def test_recall_where_codes_or_samples_say_little(spark, kind):
+    """Tight clusters of many dimensions; queries unlike the rows; a few long vectors that a sample has none of."""
+    rng = np.random.default_rng(3)
+    n, d = 20_000 if kind == "tight" else 6000, 64
+    x = rng.standard_normal((n, d))
+    if kind == "tight":
+        centre = rng.standard_normal((30, 128))
+        x = centre[rng.integers(0, 30, n)] + rng.standard_normal((n, 128)) * 0.05
+    elif kind == "apart":
+        x[::20] *= np.linspace(0.01, 8, d)
+        x *= np.linspace(4, 0.05, d)
+    else:
+        x[1::250] *= 100
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    queries = table.where("vec_id % 20 = 0")
+    index = ann.fit(table.where("vec_id % 250 <> 1"), queries=queries) if kind == "far" else ann.fit(table, queries=queries)
+    hits = 0
+    for q, rows in ann.search(table, queries, index).toPandas().groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & set(rows["vec_id"]))
+    print("recall", hits / n)
+    assert hits / n >= 0.95
+
+
 def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(SPEC)
     own = bpe.WordBpe(open(SPEC, encoding="utf-8").read())

@@ -265,3 +265,46 @@ def test_bounds_of_blocks_agree_with_exact_distances(spark, signed):
             for i, j in itertools.product(range(len(nodes)), repeat=2):
                 assert (pairs.far(pairs.of[[i]], pairs.of[[j]]) >= 0) == (exact[i, j] > rr), (kind, rr, i, j)
             assert pairs.distances <= len(nodes) ** 2
+
+
+def test_all_levels_in_one_task_keep_weight_constraint_and_score():
+    """Louvain and Leiden inside a task: every hypernode stays, no pair is too far apart, the score is the one of the graph."""
+    import numpy as np
+    import pandas as pd
+
+    nodes, edges = random_graph(21, n=40, m=160)
+    degree, links = dict.fromkeys(range(len(nodes)), 0), {}
+    for a, b in {(min(e[:2]), max(e[:2])) for e in edges if e[0] != e[1]}:
+        for u, v in ((a, b), (b, a)):
+            links.setdefault(u, {})[v] = (1, False)
+            degree[u] += 1
+    m = sum(degree.values()) // 2
+    exact = ((np.array(nodes)[:, None] - np.array(nodes)) ** 2).sum(axis=2)
+    for sweeps, rr, kept in itertools.product((None, 5), (16.5, 37.2), (8192, 0)):
+        blocks_kept, blocks.KEPT = blocks.KEPT, kept
+        pairs = blocks.Pairs(pd.DataFrame({"attrs": nodes}), [], None, rr)
+        blocks.KEPT = blocks_kept
+        held = {h: pairs.of[h : h + 1] for h in degree}
+        found, log = blocks.all_levels(degree, links, held, pairs, m, 1.0, 1, "best", sweeps=sweeps)
+        assert set(found) == set(degree)
+        assert len({x[0] for x in log}) > 1
+        assert log[0][4] > 0
+        assert all(exact[i, j] <= rr for i in found for j in found if found[i] == found[j])
+        alone, _, _ = blocks.contracted(found, degree, links, held)
+        assert sum(alone.values()) == 2 * m
+        assert blocks.quality(degree, links, found, m, 1.0) > blocks.quality(degree, links, {h: h for h in degree}, m, 1.0)
+
+
+def test_the_grid_of_results_is_whole(spark, monkeypatch):
+    from kinfold.plans import catalogue, experiment
+
+    nodes, edges = random_graph(5)
+    monkeypatch.setattr(catalogue, "users", lambda *a: graph(spark, nodes, edges))
+    seen = []
+    real = experiment.constrained_louvain
+    monkeypatch.setattr(experiment, "constrained_louvain", lambda g, **k: seen.append(1) or real(g, **k))
+    rows = catalogue.results_grid(spark, "").collect()
+    assert {(r["algorithm"], r["percentile"]) for r in rows} == {(str(c), p) for c in louvain.ALGORITHMS for p in (20, 40, 60, 80)}
+    assert len(rows) == 32 == len(seen) + 3
+    free = {r["modularity"] for r in rows if r["algorithm"] == "20"}
+    assert len(free) == 1
